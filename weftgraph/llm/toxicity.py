@@ -15,16 +15,23 @@ from weftgraph.llm.common import WORD_BYTES, held_in, mix, pieces, without
 
 @dataclass(frozen=True)
 class Settings:
-    """max_docs and max_chars bound the sample of labelled texts that the model is fitted on."""
+    """max_docs and max_chars bound the sample of labelled texts that the model is fitted on.
 
-    max_docs: int = 12_000
-    max_chars: int = 60_000_000
+    A text's mean takes in `blanks` subwords of no weight, so that a few subwords alone decide nothing; `gain`
+    scales the mean before the softmax.
+    """
+
+    max_docs: int = 15_000
+    max_chars: int = 75_000_000
     bits: int = 18
-    dim: int = 12
+    dim: int = 8
     shortest: int = 3
-    longest: int = 6
-    epochs: int = 4
-    rate: float = 0.5
+    longest: int = 5
+    updates: int = 60_000
+    rate: float = 0.3
+    decay: float = 1e-3
+    gain: float = 30.0
+    blanks: float = 1000.0
     seed: int = 7
 
 
@@ -64,22 +71,20 @@ def train(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> tup
     """Fit embeddings and softmax together; returns what each subword adds to the log-odds, and the bias.
 
     The mean embedding of a text's subwords goes through a two-class softmax. Both layers take Adagrad steps
-    of the cross-entropy, one text at a time. As the classifier is linear, the two layers fold into one number
+    of the cross-entropy, one text at a time, with weight decay. As the classifier is linear, the two layers fold into one number
     per subword afterwards.
     """
     rng = np.random.default_rng(s.seed)
     size = 1 << s.bits
-    emb = rng.uniform(-1 / s.dim, 1 / s.dim, (size, s.dim)).astype(np.float32)
+    emb = rng.uniform(-0.1 / s.dim, 0.1 / s.dim, (size, s.dim)).astype(np.float32)
     out = rng.normal(0, 1, (s.dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    seen_emb, seen_out, seen_bias = np.full(size, 1e-8, np.float32), np.full(out.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
+    sum_emb, sum_out, sum_bias = np.full(size, 1e-8, np.float32), np.full(out.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     bags = [_bag(t, s) for t in texts]
-    for epoch in range(s.epochs):
+    for _ in range(max(4, min(15, s.updates // len(texts)))):
         for i in rng.permutation(len(texts)):
             ids, counts = bags[i]
-            if not len(ids):
-                continue
-            weight = (counts / counts.sum()).astype(np.float32)
+            weight = (s.gain * counts / (counts.sum() + s.blanks)).astype(np.float32)
             vectors = emb[ids]
             h = weight @ vectors
             z = h @ out + bias
@@ -87,14 +92,14 @@ def train(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> tup
             p /= p.sum()
             p[labels[i]] -= 1
             back = out @ p
-            seen_out += (g := np.outer(h, p)) ** 2
-            out -= s.rate * g / np.sqrt(seen_out)
-            seen_bias += p**2
-            bias -= s.rate * 0.2 * p / np.sqrt(seen_bias)
-            norm = float(back @ back) / s.dim
-            seen_emb[ids] += weight**2 * norm
-            emb[ids] = vectors - (s.rate * weight / np.sqrt(seen_emb[ids]))[:, None] * back
-    return (emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
+            step = np.outer(h, p)
+            sum_out += step**2
+            out -= s.rate * step / np.sqrt(sum_out)
+            sum_bias += p**2
+            bias -= s.rate * p / np.sqrt(sum_bias)
+            sum_emb[ids] += weight**2 * (float(back @ back) / s.dim)
+            emb[ids] = vectors * (1 - s.decay) - (s.rate * weight / np.sqrt(sum_emb[ids]))[:, None] * back
+    return (s.gain * emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
@@ -149,7 +154,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
                         text = np.searchsorted(at, ok[mine] + (here + 1), "right") - 1
                         total += np.bincount(text, odds[ids[mine]], hi - lo)
                         n += np.bincount(text, minlength=hi - lo)
-                parts.append(1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -30, 30))))
+                parts.append(1 / (1 + np.exp(-np.clip(total / (n + s.blanks) + bias, -30, 30))))
             return pa.array(np.concatenate(parts) if parts else np.empty(0))
 
         scored = docs.withColumn("_score", score(F.col("text")))
