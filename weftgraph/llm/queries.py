@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.decontaminate import decontaminate
 from weftgraph.llm.exact_dedup import exact_groups
+from weftgraph.llm.html_text import extract_text
+from weftgraph.llm.licences import licence_scan
 from weftgraph.llm.mixing import mix_sources
 from weftgraph.llm.near_dups import jaccard_join
+from weftgraph.llm.secrets import secret_spans
 from weftgraph.llm.toxicity import toxicity
 
 
@@ -35,16 +38,31 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels", "doc_id", "toxic")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("base_spans")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
+    "op7_extract_text": op7_extract_text,
+    "op8_secret_spans": op8_secret_spans,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_licence_scan": op10_licence_scan,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
