@@ -148,7 +148,7 @@ def _powers(n: int) -> np.ndarray:
     return _power
 
 
-def _hash(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and non-zero 64-bit hashes of the blank-separated words."""
     b = np.frombuffer(data, np.uint8)
     word = b != 32
@@ -171,13 +171,13 @@ def hashed_words(texts: pa.Array, table: bytes, limit: int = CHUNK) -> Iterator[
     ends[i], where the words of text i of the run end. Texts over `limit` are hashed part by part."""
     for lo, hi, data, at in pieces(texts, table, limit):
         if len(data) <= 2 * limit:
-            starts, h = _hash(data)
+            starts, h = hash_words(data)
             yield lo, hi, h, np.searchsorted(starts, at[1:])
             continue
         parts, here = [], 0
         while here < len(data):
             stop = data.find(b" ", min(here + limit, len(data) - 1)) + 1
-            parts.append(_hash(data[here:stop])[1])
+            parts.append(hash_words(data[here:stop])[1])
             here = stop
         h = np.concatenate(parts)
         yield lo, hi, h, np.array([len(h)])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.decontaminate import decontaminate
 from weftgraph.llm.exact_dedup import exact_groups
 from weftgraph.llm.html_text import extract_text
+from weftgraph.llm.language_model import language_model
 from weftgraph.llm.licences import licence_scan
 from weftgraph.llm.mixing import mix_sources
 from weftgraph.llm.near_dups import jaccard_join
@@ -38,6 +39,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels", "doc_id", "toxic")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_read(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
+    "op6_language_model": op6_language_model,
     "op7_extract_text": op7_extract_text,
     "op8_secret_spans": op8_secret_spans,
     "op9_exact_dedup": op9_exact_dedup,
