@@ -101,6 +101,17 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     return out
 
 
+def sketch(df: DataFrame, number: Column, bits: int) -> np.ndarray:
+    """A bitmap of fixed size, 2**bits, set at the low bits of each row's number. What it lacks is not in df."""
+    bit = number.bitwiseAND(F.lit((1 << bits) - 1))
+    cells = df.select(F.shiftright(bit, 6).alias("cell"), bit.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    cells = cells.select("cell", F.expr("shiftleft(1L, b)").alias("v")).groupBy("cell").agg(F.bit_or("v").alias("v"))
+    out = np.zeros(max(1, 1 << (bits - 6)), np.uint64)
+    for cell, v in cells.toLocalIterator():
+        out[cell] = np.uint64(v & (2**64 - 1))
+    return out
+
+
 # ---------------------------------------------------------------- texts as bytes
 
 

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftgraph.llm.common import CHUNK, WORD_BYTES, components, cut, grams, hashed_words, keep_rows, mix, row_hash
+from weftgraph.llm.common import CHUNK, WORD_BYTES, components, cut, grams, hashed_words, keep_rows, mix, row_hash, sketch
 
 
 @dataclass(frozen=True)
@@ -247,7 +247,7 @@ def jaccard_join(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     sizes = placed.groupBy("root").agg(F.count("*").alias("members"))
     placed = placed.join(sizes, "root").withColumn("blocks", F.ceil(F.col("members") / F.lit(f.tile)).cast("int"))
     placed = cut(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("node", "root", "rows", "block", "blocks"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(placed, f.sketch_bits))
+    bitmap = spark.sparkContext.broadcast(sketch(placed, first_bytes(F.col("node")), f.sketch_bits))
     sets = docs.select(_opener(f, bitmap)(F.col("text")).alias("s")).select("s.*").where("shingles is not null")
     sets = sets.groupBy("fp").agg(F.first("shingles").alias("shingles"))
     full = placed.join(sets, placed.node == sets.fp).drop("node")
@@ -268,18 +268,10 @@ def jaccard_join(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     return out.select("doc_id", "rowkey", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("lead.id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), kept.alias("kept"))
 
 
-def _bitmap(placed: DataFrame, bits: int) -> np.ndarray:
-    """2**bits bits, set where the low bits of a node's first eight bytes say: a sketch of fixed size."""
-    # little-endian: the first four bytes, last byte first
-    h = F.hex("node")
-    value = F.conv(F.concat(*[F.substring(h, p, 2) for p in (7, 5, 3, 1)]), 16, 10).cast("long")
-    bit = value.bitwiseAND(F.lit((1 << bits) - 1))
-    cells = placed.select(F.shiftright(bit, 6).alias("cell"), bit.bitwiseAND(F.lit(63)).cast("int").alias("b"))
-    cells = cells.select("cell", F.expr("shiftleft(1L, b)").alias("v")).groupBy("cell").agg(F.bit_or("v").alias("v"))
-    out = np.zeros(max(1, 1 << (bits - 6)), np.uint64)
-    for cell, v in cells.toLocalIterator():
-        out[cell] = np.uint64(v & (2**64 - 1))
-    return out
+def first_bytes(fp: Column) -> Column:
+    """The first four bytes of a fingerprint as a number, the last one first."""
+    h = F.hex(fp)
+    return F.conv(F.concat(*[F.substring(h, p, 2) for p in (7, 5, 3, 1)]), 16, 10).cast("long")
 
 
 def near_dedup(docs: DataFrame, f: Forest = Forest()) -> DataFrame:

@@ -12,6 +12,7 @@ from weftgraph.llm.exact_dedup import exact_groups
 from weftgraph.llm.html_text import extract_text
 from weftgraph.llm.language_model import language_model
 from weftgraph.llm.licences import licence_scan
+from weftgraph.llm.line_dedup import recurring_lines
 from weftgraph.llm.mixing import mix_sources
 from weftgraph.llm.near_dups import jaccard_join
 from weftgraph.llm.secrets import secret_spans
@@ -27,6 +28,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recurring_lines(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped_lines"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id", "class_size", "n_links")
 
@@ -61,6 +67,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
