@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ class Settings:
     scales the mean before the softmax.
     """
 
-    max_docs: int = 15_000
-    max_chars: int = 75_000_000
+    max_docs: int = 12_000
+    max_chars: int = 60_000_000
     bits: int = 18
     dim: int = 8
     shortest: int = 3
@@ -64,10 +66,11 @@ def _bag(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     ids = [np.empty(0, np.int64)]
     for _, _, data, _ in pieces(pa.array([text]), WORD_BYTES):
         ids += [f for _, f in subwords(b" " + b" ".join(data.split()) + b" ", s)]
-    return np.unique(np.concatenate(ids), return_counts=True)
+    ids, counts = np.unique(np.concatenate(ids), return_counts=True)
+    return ids.astype(np.int32), np.minimum(counts, 65535).astype(np.uint16)
 
 
-def train(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> tuple[np.ndarray, float]:
+def train(texts: Iterable[str], labels: list[int], s: Settings = Settings()) -> tuple[np.ndarray, float]:
     """Fit embeddings and softmax together; returns what each subword adds to the log-odds, and the bias.
 
     The mean embedding of a text's subwords goes through a two-class softmax. Both layers take Adagrad steps
@@ -81,10 +84,10 @@ def train(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> tup
     bias = np.zeros(2, np.float32)
     sum_emb, sum_out, sum_bias = np.full(size, 1e-8, np.float32), np.full(out.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     bags = [_bag(t, s) for t in texts]
-    for _ in range(max(4, min(15, s.updates // len(texts)))):
-        for i in rng.permutation(len(texts)):
+    for _ in range(max(4, min(15, s.updates // len(bags)))):
+        for i in rng.permutation(len(bags)):
             ids, counts = bags[i]
-            weight = (s.gain * counts / (counts.sum() + s.blanks)).astype(np.float32)
+            weight = (s.gain * counts / (counts.sum(dtype=np.int64) + s.blanks)).astype(np.float32)
             vectors = emb[ids]
             h = weight @ vectors
             z = h @ out + bias
@@ -112,15 +115,20 @@ def labelled(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float] | None:
     """None where no labelled row is left."""
-    rows, chars = [], 0
-    for r in labelled(docs, labels, s).toLocalIterator():
-        chars += len(r.text)
-        if chars > s.max_chars:
-            break
-        rows.append(r)
-    if not rows:
-        return None
-    return train([r.text for r in rows], np.array([r.toxic for r in rows]), s)
+    toxic: list[int] = []
+
+    def texts() -> Iterator[str]:
+        chars = 0
+        for r in labelled(docs, labels, s).toLocalIterator():
+            chars += len(r.text)
+            if chars > s.max_chars:
+                return
+            toxic.append(r.toxic)
+            yield r.text
+
+    found = texts()
+    first = next(found, None)
+    return None if first is None else train(chain([first], found), toxic, s)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
