@@ -90,8 +90,8 @@ def exact_groups(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("rid"), "text")
     rows = docs.select("rid", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("chars"), norm.alias("norm"), "text")
     rows = rows.select("*", F.substring("norm", 1, 32).alias("head"), F.xxhash64("norm").alias("whole"), row_hash("rid", "text").alias("rowkey"))
-    spread = rows.repartitionByRange(n, "head", "whole", "rowkey").drop("head", "text")
-    ordered = spread.sortWithinPartitions("whole", "norm", F.desc("chars"), F.asc_nulls_last("rid"))
+    spread = rows.repartitionByRange(n, "head", "whole", "rowkey").drop("text")
+    ordered = spread.sortWithinPartitions("head", "whole", "norm", F.desc("chars"), F.asc_nulls_last("rid"))
     found = cut(ordered.select("norm", "rowkey", "rid", "chars").mapInArrow(_neighbours, _RUNS))
 
     # Runs at edges: one row per run, then one per text.
