@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,18 +25,19 @@ def targets(sizes: DataFrame, weights: Sequence[float], budget: float, most: flo
     order = Window.orderBy(F.asc_nulls_last("source"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(k)) + 1).cast("int"))
     s = sizes.select("source", "source_size", w.alias("weight")).withColumn("full", F.lit(float(most)) * F.col("source_size"))
-    # Sources fill up in order of full / weight; the level is that of the first which does not.
+    # Sources fill up in order of full / weight; the level is that of the first which does not. Later ones
+    # would give lower levels, as they leave out what the others ask for.
     up = Window.orderBy("ratio", F.asc_nulls_last("source"))
     every = Window.partitionBy()
     s = s.withColumn("ratio", F.col("full") / F.col("weight"))
     s = s.withColumn("before", F.sum("full").over(up.rowsBetween(Window.unboundedPreceding, -1)))
     s = s.withColumn("rest", F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing)))
     s = s.withColumn("level", (F.lit(float(budget)) * F.sum("source_size").over(every) - F.coalesce("before", F.lit(0.0))) / F.col("rest"))
-    s = s.withColumn("top", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
+    s = s.withColumn("top", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
     return s.select("source", "source_size", "weight", F.coalesce(F.least("full", F.col("top") * F.col("weight")), F.col("full")).alias("target"))
 
 
-def queue(slim: DataFrame, goal: DataFrame, most: int, bucket_rows: int = 50_000) -> DataFrame:
+def queue(slim: DataFrame, goal: DataFrame, most: int, bucket_rows: int = 2_000) -> DataFrame:
     """Virtual finish times: slim (source, turn, words; one row per source and turn) repeated `most` times.
 
     `start` and `finish` are a row's cumulative source words, before and after it, divided by the source's target.
@@ -43,7 +45,9 @@ def queue(slim: DataFrame, goal: DataFrame, most: int, bucket_rows: int = 50_000
     rows meet in one task.
     """
     n = cut(slim.select("source", "turn", "words"))
-    buckets = max(1, n.count() // bucket_rows)
+    rows = n.count()
+    # as many rows in a bucket as buckets, once there are enough: neither side of the sum grows in step with the rows
+    buckets = max(1, rows // max(bucket_rows, math.isqrt(rows)))
     n = n.withColumn("bucket", F.pmod(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * buckets / F.lit(2.0**32), F.lit(float(buckets))).cast("int"))
     sums = n.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

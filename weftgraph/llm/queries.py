@@ -104,7 +104,7 @@ s AS (SELECT source, sum(size) AS source_size, CASE (row_number() OVER (ORDER BY
 u AS (SELECT *, 2.0 * source_size AS full_, 2.0 * source_size / weight AS ratio FROM s),
 v AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(full_) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM u),
-t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CAST(least(full_, weight * (SELECT min(level) FROM v WHERE level <= ratio)) AS DOUBLE) AS target FROM v),
+t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CAST(least(full_, weight * (SELECT max(level) FROM v WHERE level <= ratio)) AS DOUBLE) AS target FROM v),
 q AS (SELECT d.*, source_size, target, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
