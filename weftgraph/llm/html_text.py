@@ -32,14 +32,15 @@ _HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*["']?true|d
 
 
 class _Lines:
-    """Lines of a page: text, characters inside links, whether it belongs to a marked article, and whether it is noise."""
+    """Lines of a page: text, characters inside links, what marks it as main text (2 an article, 1 a main element), and
+    whether it is noise."""
 
     def __init__(self, page: str):
-        self.rows: list[tuple[str, int, bool, bool]] = []
+        self.rows: list[tuple[str, int, int, bool]] = []
         self.parts: list[str] = []
         self.link = 0
-        stack: list[tuple[str, bool, bool]] = []  # open element, article, noise
-        state = (False, False)
+        stack: list[tuple[str, int, bool]] = []  # open element, article, noise
+        state = (0, False)
         at, n, links = 0, len(page), 0
         while at < n:
             lt = page.find("<", at)
@@ -74,7 +75,7 @@ class _Lines:
                             self._line(*state)
                         del stack[k:]
                         break
-                state = stack[-1][1:] if stack else (False, False)
+                state = stack[-1][1:] if stack else (0, False)
                 continue
             if name in RAW:
                 close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -90,8 +91,7 @@ class _Lines:
                 names = [x.strip("\"'") for x in _NAMES.findall(attrs)]
                 if any(NOISE.search(x) for x in names) or _HIDDEN.search(attrs) or not article and any(HEADER.match(x) for x in " ".join(names).split()):
                     noise = True
-            if name in ("article", "main"):
-                article = True
+            article = max(article, {"article": 2, "main": 1}.get(name, 0))
             if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
             if (article, noise) != state:
@@ -104,7 +104,7 @@ class _Lines:
         self.parts.append(s)
         self.link += len(s) * linked
 
-    def _line(self, article: bool, noise: bool) -> None:
+    def _line(self, article: int, noise: bool) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
@@ -142,8 +142,8 @@ def main_text(page: str | None, width: int = 3, least: int = 80, most_links: flo
     characters, and if it never does, all that weighs something is kept.
     """
     lines = _Lines(page or "").rows
-    marked = any(a and not noise for _, _, a, noise in lines)
-    sizes = np.array([0 if noise or marked and not a or not marked and link > most_links * len(t) else len(t) for t, link, a, noise in lines], np.int64)
+    marked = max((a for _, _, a, noise in lines if not noise), default=0)
+    sizes = np.array([0 if noise or a < marked or not marked and link > most_links * len(t) else len(t) for t, link, a, noise in lines], np.int64)
     inside = surges(sizes, width, 1 if marked else least)
     if not inside.any():
         inside[:] = True

@@ -59,7 +59,8 @@ def queue(slim: DataFrame, goal: DataFrame, most: int, bucket_rows: int = 2_000)
     n = n.join(g, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     n = n.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     before = F.col("round") * F.col("source_size") + F.col("ahead") + F.col("inner")
-    return n.select("source", "turn", "round", "words", "target", (before / F.col("target")).alias("start"), ((before + F.col("words")) / F.col("target")).alias("finish"), before.alias("before"))
+    goal_words = F.when(F.col("target") > 0, F.col("target"))  # a source without words has no virtual time
+    return n.select("source", "turn", "round", "words", "target", (before / goal_words).alias("start"), ((before + F.col("words")) / goal_words).alias("finish"), before.alias("before"))
 
 
 def cut_offs(queued: DataFrame, budget: Column | int) -> DataFrame:
