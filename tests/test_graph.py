@@ -229,3 +229,30 @@ def test_validity(spark):
     day = lambda x: F.lit(x).cast("date")
     assert rows_of(traversal.select(g, "Licence").valid_at(day("2005-06-01")).ids()) == [(1,), (2,)]
     assert rows_of(traversal.select(g, "Licence").valid_during(day("2010-06-01"), day("2012-01-01")).ids()) == [(1,), (2,), (3,)]
+
+
+def test_text_embeddings(spark):
+    class Letters:
+        """A stand-in embedder: how often a and b occur."""
+
+        dimension = 2
+
+        def load(self):
+            self.ready = True
+
+        def embed(self, texts):
+            assert self.ready
+            return [(t.count("a"), t.count("b")) for t in texts]
+
+        def unload(self):
+            self.ready = False
+
+    docs = spark.createDataFrame([(1, "aaa"), (2, "bbb"), (3, None)], "id long, t string")
+    v = vectors.embed_texts(docs, "t", Letters())
+    assert {r.id: r.vector for r in v.collect()} == {1: [3.0, 0.0], 2: [0.0, 3.0], 3: None}
+    assert [r.id for r in vectors.text_search(v, "vector", "a", Letters(), 1).collect()] == [1]
+
+
+def test_aggregates_go_up(g):
+    up = traversal.select(g, "Person").traverse("BOUGHT", "out").aggregate_up(0, {"n": "count(*)", "spent": "sum(price)"})
+    assert rows_of(up.nodes["Person"].select("id", "n", "spent").where("n is not null")) == [(1, 2, 12.5), (2, 1, 2.5)]

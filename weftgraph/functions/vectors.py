@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, FloatType
+
+
+class EmbeddingModel(Protocol):
+    """What a text embedder offers; load and unload are called once per task."""
+
+    dimension: int
+
+    def load(self) -> None: ...
+    def embed(self, texts: list[str]) -> list[Sequence[float]]: ...
+    def unload(self) -> None: ...
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -46,3 +60,32 @@ def literal(values: Sequence[float]) -> Column:
 def search(df: DataFrame, column: str, query: Sequence[float], k: int, metric: str = "cosine", ties: str = "id") -> DataFrame:
     """The k rows nearest the query with their score: a top-k that each task reduces before anything is sent."""
     return df.withColumn("score", score(F.col(column), literal(query), metric)).where("score is not null").orderBy(F.desc("score"), ties).limit(k)
+
+
+def embed_texts(df: DataFrame, column: str, model: EmbeddingModel, name: str = "vector") -> DataFrame:
+    """df with the vectors of a text column (null for null texts): the model travels with the function and is loaded
+    once per task."""
+    @pandas_udf(ArrayType(FloatType()))
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model.load()
+        try:
+            for texts in parts:
+                there = texts.notna()
+                out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+                if there.any():
+                    out[there] = [list(map(float, v)) for v in model.embed(texts[there].tolist())]
+                yield out
+        finally:
+            model.unload()
+
+    return df.withColumn(name, embed(F.col(column)))
+
+
+def text_search(df: DataFrame, column: str, text: str, model: EmbeddingModel, k: int, metric: str = "cosine") -> DataFrame:
+    """The k rows whose vectors are nearest a text, which is embedded once."""
+    model.load()
+    try:
+        query = list(model.embed([text])[0])
+    finally:
+        model.unload()
+    return search(df, column, query, k, metric)

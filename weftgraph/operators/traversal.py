@@ -264,6 +264,14 @@ class Selection:
         table = self.graph.nodes[self.type].drop(*copy)
         return replace(self.graph, nodes={**self.graph.nodes, self.type: table.join(got, "id", "left")})
 
+    def aggregate_up(self, level: int, values: Mapping[str, str]) -> PropertyGraph:
+        """Put aggregates of the last level on an ancestor level: {name: "count(*)", "sum(x)", "mean(x)", "std(x)", ...}."""
+        make = [F.expr(e.replace("mean(", "avg(").replace("std(", "stddev_samp(").replace("collect(", "collect_list(")).alias(n) for n, e in values.items()]
+        sums = self.chains().groupBy(F.col(f"l{level}").alias("id")).agg(*make)
+        kind = self.types[level]
+        table = self.graph.nodes[kind].drop(*values).join(sums, "id", "left")
+        return replace(self.graph, nodes={**self.graph.nodes, kind: table})
+
     def create_connections(self, edge: str, conflict: str = "update") -> PropertyGraph:
         """Relationships from the first to the last level of each chain."""
         pairs = self.keys.select(F.col("l0").alias("src"), F.col(self.leaf).alias("dst")).distinct()
@@ -280,8 +288,10 @@ class Selection:
         return parts.distinct()
 
 
-def select(g: PropertyGraph, node_type: str) -> Selection:
-    return Selection(g, g.nodes[node_type].select(F.col("id").alias("l0")), (node_type,))
+def select(g: PropertyGraph, node_type: str, at: Column | None = None) -> Selection:
+    """All nodes of a type; at keeps those valid on a day, if the type has a period of validity."""
+    out = Selection(g, g.nodes[node_type].select(F.col("id").alias("l0")), (node_type,))
+    return out.valid_at(at) if at is not None and g.info[node_type].temporal else out
 
 
 def subgraph(g: PropertyGraph, ids: Mapping[str, DataFrame]) -> PropertyGraph:
