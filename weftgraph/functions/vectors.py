@@ -70,11 +70,9 @@ def embed_texts(df: DataFrame, column: str, model: EmbeddingModel, name: str = "
         model.load()
         try:
             for texts in parts:
-                there = texts.notna()
-                out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-                if there.any():
-                    out[there] = [list(map(float, v)) for v in model.embed(texts[there].tolist())]
-                yield out
+                there = [t for t in texts if t is not None]
+                found = iter(model.embed(there) if there else ())
+                yield pd.Series([None if t is None else [float(x) for x in next(found)] for t in texts], dtype=object)
         finally:
             model.unload()
 
