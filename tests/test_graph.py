@@ -256,3 +256,16 @@ def test_text_embeddings(spark):
 def test_aggregates_go_up(g):
     up = traversal.select(g, "Person").traverse("BOUGHT", "out").aggregate_up(0, {"n": "count(*)", "spent": "sum(price)"})
     assert rows_of(up.nodes["Person"].select("id", "n", "spent").where("n is not null")) == [(1, 2, 12.5), (2, 1, 2.5)]
+
+
+def test_foreign_keys_join_like_relationships(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id long, name string")
+    b = spark.createDataFrame([(10, 1), (11, 1), (12, None), (13, 9)], "id long, a_id long")
+    plain = PropertyGraph().add_nodes(a, "A", "id", "name").add_nodes(b, "B", "id")
+    e = b.select("id", "a_id")
+    graphs = [plain.add_edges(e, "HAS", "A", "a_id", "B", "id", columns=[], key=k) for k in (None, ("dst", "a_id"))]
+    for p in (node("a", "A").out("HAS", "b", "B"), node("b", "B").into("HAS", "a", "A"), node("b", "B", id=11).into("HAS", "a", "A")):
+        want, got = (rows_of(match(g, p).select("a.id", "b.id")) for g in graphs)
+        assert want == got and want
+    changed = mutate.set_properties(graphs[1], "B", {"a_id": 2})
+    assert rows_of(match(changed, node("a", "A").out("HAS", "b", "B")).select("a.id", "b.id")) == [(1, 10), (1, 11)]

@@ -19,11 +19,15 @@ MODES = ("update", "replace", "skip", "preserve", "sum")
 
 @dataclass(frozen=True)
 class EdgeTable:
-    """Relationships between two node types: src, dst and properties. Parallel ones are separate rows."""
+    """Relationships between two node types: src, dst and properties. Parallel ones are separate rows.
+
+    key names the column of the src or dst node table that holds the other end's id, if that is all the relationship is.
+    """
 
     src_type: str
     dst_type: str
     df: DataFrame
+    key: tuple[str, str] | None = None  # ("src" | "dst", column)
 
     @property
     def properties(self) -> list[str]:
@@ -81,10 +85,11 @@ class PropertyGraph:
         info = replace(info, id_alias=info.id_alias or id_column, title_alias=info.title_alias or title_column)
         return self._next("add_nodes", nodes={**self.nodes, node_type: table}, info={**self.info, node_type: info})
 
-    def add_edges(self, df: DataFrame, edge_type: str, src_type: str, src_column: str, dst_type: str, dst_column: str, columns: Sequence[str] | None = None, mode: str = "update", check: bool = True) -> PropertyGraph:
+    def add_edges(self, df: DataFrame, edge_type: str, src_type: str, src_column: str, dst_type: str, dst_column: str, columns: Sequence[str] | None = None, mode: str = "update", check: bool = True, key: tuple[str, str] | None = None) -> PropertyGraph:
         """Register relationships. Rows with null or unknown endpoints are left out (semi joins against the ids).
 
-        The first load of a type keeps parallel relationships; later ones are upserts on (src, dst).
+        The first load of a type keeps parallel relationships; later ones are upserts on (src, dst). key says that the rows
+        are a foreign key: ("dst", "custkey") if the dst nodes have the src id in custkey. Patterns then join the node tables directly.
         """
         _mode(mode)
         keep = [c for c in (df.columns if columns is None else columns) if c not in (src_column, dst_column)]
@@ -97,10 +102,10 @@ class PropertyGraph:
         tables = list(self.edges.get(edge_type, ()))
         for i, t in enumerate(tables):
             if (t.src_type, t.dst_type) == (src_type, dst_type):
-                tables[i] = replace(t, df=_upsert(t.df, new.dropDuplicates(["src", "dst"]), ["src", "dst"], mode))
+                tables[i] = replace(t, df=_upsert(t.df, new.dropDuplicates(["src", "dst"]), ["src", "dst"], mode), key=None)
                 break
         else:
-            tables.append(EdgeTable(src_type, dst_type, new))
+            tables.append(EdgeTable(src_type, dst_type, new, key))
         return self._next("add_edges", edges={**self.edges, edge_type: tuple(tables)})
 
     def add_nodes_bulk(self, specs: Iterable[Mapping[str, Any]]) -> PropertyGraph:

@@ -34,17 +34,27 @@ def create_edges(g: PropertyGraph, edge_type: str, src_type: str, dst_type: str,
     tables = list(g.edges.get(edge_type, ()))
     for i, t in enumerate(tables):
         if (t.src_type, t.dst_type) == (src_type, dst_type):
-            tables[i] = replace(t, df=t.df.unionByName(rows, allowMissingColumns=True))
+            tables[i] = replace(t, df=t.df.unionByName(rows, allowMissingColumns=True), key=None)
             break
     else:
         tables.append(EdgeTable(src_type, dst_type, rows))
     return g._next("create_edges", edges={**g.edges, edge_type: tuple(tables)})
 
 
+def _forget_keys(g: PropertyGraph, node_type: str, columns: Any) -> PropertyGraph:
+    """Relationships that are a column of the type no longer are, once the column is changed."""
+
+    def holds(t: EdgeTable) -> bool:
+        return t.key is not None and {"src": t.src_type, "dst": t.dst_type}[t.key[0]] == node_type and t.key[1] in columns
+
+    return replace(g, edges={n: tuple(replace(t, key=None) if holds(t) else t for t in ts) for n, ts in g.edges.items()})
+
+
 def set_properties(g: PropertyGraph, node_type: str, values: Mapping[str, Any], where: Column | str | None = None) -> PropertyGraph:
     """SET on the nodes of a type; id and type cannot change."""
     if {"id", "type"} & set(values):
         raise ValueError("id and type cannot be set")
+    g = _forget_keys(g, node_type, values)
     df = g.nodes[node_type]
     here = F.lit(True) if where is None else F.expr(where) if isinstance(where, str) else where
     here = F.coalesce(here, F.lit(False))
@@ -70,7 +80,7 @@ def delete_nodes(g: PropertyGraph, node_type: str, ids: DataFrame, detach: bool
             for end, kind in (("src", t.src_type), ("dst", t.dst_type)):
                 if kind == node_type:
                     df = df.join(ids.withColumnRenamed("id", end), end, "left_anti").select(*t.df.columns)
-            out.append(replace(t, df=df))
+            out.append(replace(t, df=df, key=None))
         edges[name] = tuple(out)
     if not detach:
         for name, tables in g.edges.items():
@@ -86,7 +96,7 @@ def delete_nodes(g: PropertyGraph, node_type: str, ids: DataFrame, detach: bool
 def delete_edges(g: PropertyGraph, edge_type: str, pairs: DataFrame) -> PropertyGraph:
     """Delete all relationships between pairs (src, dst)."""
     pairs = pairs.select("src", "dst").distinct()
-    tables = tuple(replace(t, df=t.df.join(pairs, ["src", "dst"], "left_anti").select(*t.df.columns)) for t in g.edges[edge_type])
+    tables = tuple(replace(t, df=t.df.join(pairs, ["src", "dst"], "left_anti").select(*t.df.columns), key=None) for t in g.edges[edge_type])
     return g._next("delete_edges", edges={**g.edges, edge_type: tables})
 
 

@@ -218,6 +218,11 @@ def _hop(g: PropertyGraph, rows: DataFrame, a: NodeStep, e: EdgeStep, b: NodeSte
     left, right = types.get(a.var), types.get(b.var)
     if e.hops is not None:
         return _walk(g, rows, a, e, b, right)
+    if b.var not in rows.columns and (near := _foreign_key(g, e, left, right)):
+        side, column = near
+        far = _nodes(g, b)
+        on = F.col(f"{a.var}.{column}") == F.col(f"{b.var}.id") if side == "near" else F.col(f"{a.var}.id") == F.col(f"{b.var}.{column}")
+        return rows.join(far, on)
     edges = _edges(g, e, left, right, name)
     if not left:
         on = (F.col(f"{a.var}.id").cast("string") == F.col("_l").cast("string")) & (F.col(f"{a.var}.type") == F.col("_lt"))
@@ -236,6 +241,19 @@ def _hop(g: PropertyGraph, rows: DataFrame, a: NodeStep, e: EdgeStep, b: NodeSte
     return out.drop(*drop)
 
 
+def _foreign_key(g: PropertyGraph, e: EdgeStep, left: str | None, right: str | None) -> tuple[str, str] | None:
+    """("near" | "far", column) if the step only follows a column of one of its ends' tables."""
+    if e.var or e.props or not (left and right) or e.direction == "both" or not e.types or len(e.types) != 1:
+        return None
+    ends = (left, right) if e.direction == "out" else (right, left)
+    tables = [t for t in g.edges.get(e.types[0], ()) if (t.src_type, t.dst_type) == ends]
+    if len(tables) != 1 or tables[0].key is None:
+        return None
+    side, column = tables[0].key
+    near = (side == "src") == (e.direction == "out")
+    return ("near" if near else "far", column)
+
+
 def _walk(g: PropertyGraph, rows: DataFrame, a: NodeStep, e: EdgeStep, b: NodeStep, right: str | None) -> DataFrame:
     """A step of several hops: depth is bound to `<var>` if the relationship is named (as its number of hops)."""
     edges = _edges(g, e, None, None, "_e").drop("_e")

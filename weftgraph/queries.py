@@ -45,8 +45,9 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         g = g.add_nodes(df, kind, key, title, unique=True)
     g = g.add_nodes(events.select("user_id").distinct(), "User", "user_id", unique=True)
     edge_columns = [c for c in lines.columns if c not in ("orderkey", "partkey", "suppkey")]
+    keys = {("IN_REGION", "Nation"): ("src", "regionkey"), ("IN_NATION", "Customer"): ("src", "nationkey"), ("IN_NATION", "Supplier"): ("src", "nationkey"), ("PLACED", "Customer"): ("dst", "custkey"), ("DID", "User"): ("dst", "user_id")}
     for df, kind, a, ac, b, bc, columns in ((nation, "IN_REGION", "Nation", "nationkey", "Region", "regionkey", []), (customer, "IN_NATION", "Customer", "custkey", "Nation", "nationkey", []), (supplier, "IN_NATION", "Supplier", "suppkey", "Nation", "nationkey", []), (orders, "PLACED", "Customer", "custkey", "Order", "orderkey", []), (lines, "CONTAINS", "Order", "orderkey", "Part", "partkey", edge_columns), (lines, "SUPPLIED", "Supplier", "suppkey", "Part", "partkey", []), (lines, "FILLED_BY", "Order", "orderkey", "Supplier", "suppkey", []), (events, "DID", "User", "user_id", "Event", "event_id", [])):
-        g = g.add_edges(df, kind, a, ac, b, bc, columns=columns, check=False)
+        g = g.add_edges(df, kind, a, ac, b, bc, columns=columns, check=False, key=keys.get((kind, a)))
     daily = series.collect(events.where("value is not null"), "user_id", "ts", {"value": "value"})
     g = g.set_series("User", daily)
     return g.set_embeddings("Vec", "embedding", vectors_.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
