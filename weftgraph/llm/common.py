@@ -30,7 +30,8 @@ def _table(keep) -> bytes:
 WORD_BYTES = _table(lambda c: c >= 128 or chr(c).isalnum())
 TOKEN_BYTES = _table(lambda c: c not in _SPACES)
 
-CHUNK = 1 << 21
+#: Bytes of text that kernels take at once: their scratch arrays are some forty times as large.
+CHUNK = 1 << 19
 
 
 def with_checkpoints(spark: SparkSession) -> None:
@@ -120,11 +121,13 @@ def pieces(texts: pa.Array, table: bytes, limit: int = CHUNK) -> Iterator[tuple[
     bytes[offsets[i] : offsets[i + 1] - 1], translated by table and followed by a blank. Nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     n = len(texts)
     if not n:
         return
-    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    wide = pa.types.is_large_string(texts.type)
+    at = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
     data = memoryview(texts.buffers()[2] or b"")
     lo = 0
     while lo < n:

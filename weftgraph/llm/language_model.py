@@ -230,6 +230,20 @@ class Tables:
 # ---------------------------------------------------------------- scoring
 
 
+def _least_count(counts: DataFrame, most: int) -> int:
+    """The smallest count that at most `most` tokens reach, to within a bin; bins are so few that any corpus fits."""
+    n = F.col("n")
+    # bins of 1 to 1024 hold one count each, later ones a 64th of a power of two
+    at = F.when(n <= 1024, n).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(n) * 64) / 64)).cast("double")
+    bins = sorted(((r[0], r[1]) for r in counts.groupBy(at.alias("at")).agg(F.count("*")).collect()), reverse=True)
+    least, seen = float("inf"), 0
+    for value, k in bins:
+        if seen + k > most:
+            break
+        least, seen = value, seen + k
+    return int(np.ceil(least)) if seen else 2**62
+
+
 def language_model(docs: DataFrame, m: Model = Model()) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per row of docs.
 
@@ -250,7 +264,8 @@ def language_model(docs: DataFrame, m: Model = Model()) -> DataFrame:
     counts = cut(token_counts(learn, m))
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = int(END)
-    head = counts.orderBy((F.col("token") != end).cast("int"), F.desc("n"), "token").limit(m.common).select("token", "n").toArrow()
+    head = counts.where((F.col("token") == end) | (F.col("n") >= _least_count(counts, m.common))).select("token", "n")
+    head = head.orderBy((F.col("token") != end).cast("int"), F.desc("n"), "token").toArrow()
     token, n = (np.asarray(head.column(c)) for c in ("token", "n"))
     voc = Vocabulary(token.view(np.uint64), n, m)
     shared_voc = spark.sparkContext.broadcast(voc)
@@ -267,8 +282,11 @@ def language_model(docs: DataFrame, m: Model = Model()) -> DataFrame:
 
     theta = start(m, noise)
     warm = Trainer(theta, noise, m)
-    sample = learn.where(F.length("text") <= m.warm_chars * 10 // m.warm_docs).select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h").limit(m.warm_docs).select("text")
-    texts = [r.text for r in sample.collect()]
+    # a bounded sample in hash order: hashes alone decide which texts come to the driver
+    drawn = learn.where(F.length("text") <= m.warm_chars * 10 // m.warm_docs).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    last = drawn.select("h").orderBy("h").limit(m.warm_docs).agg(F.max("h")).first()[0]
+    sample = drawn.where(F.col("h") <= last).limit(m.warm_docs).collect() if last is not None else []
+    texts = [r.text for r in sorted(sample)]
     for _, _, h, cls, ends in tokens(pa.array(texts, pa.string()), m.classes):
         for _ in range(2):
             warm.learn(voc.look_up(h, cls)[0], ends)

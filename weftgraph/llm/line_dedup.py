@@ -23,7 +23,9 @@ class Tree:
     """lead: leading tokens on a line's way through the tree, after its number of tokens.
 
     A template recurs if lines of `docs` different texts have it; lines of `long` tokens and over need two, those of fewer
-    than `short` tokens `short_docs`. `constant` is the least share of a template's tokens that are not variable.
+    than `short` tokens `short_docs`. `constant` is the least share of a template's tokens that are not variable. Lines that agree with no
+    other line of their leaf in any of `segments` equal parts are taken to have no template: it would need a variable field in
+    every part.
     """
 
     lead: int = 2
@@ -32,6 +34,7 @@ class Tree:
     short: int = 5
     short_docs: int = 50
     constant: float = 0.6
+    segments: int = 8
     sketch_bits: int = 25
 
 
@@ -64,45 +67,92 @@ def _lines(texts: pa.Array, t: Tree):
         yield lo, hi, n_lines, h, rows, leaf, whole
 
 
-def _leaves(t: Tree):
-    @arrow_udf("struct<n_lines:long,leaves:array<long>>")
-    def leaves(texts: pa.Array) -> pa.Array:
-        counts, sizes, keys = [], [], []
-        for lo, hi, n_lines, _, rows, leaf, _ in _lines(texts, t):
-            pairs = np.unique(np.stack([rows[:, 0], leaf.view(np.int64)], axis=1), axis=0)
+def _mapped(t: Tree):
+    """Number of lines, and the lines with tokens: number, leaf, hash and number of tokens."""
+
+    @arrow_udf("struct<n_lines:long,lines:array<struct<line:long,leaf:long,whole:long,n:long>>>")
+    def mapped(texts: pa.Array) -> pa.Array:
+        counts, sizes, columns = [], [], [[], [], [], []]
+        for lo, hi, n_lines, _, rows, leaf, whole in _lines(texts, t):
             counts.append(n_lines)
-            sizes.append(np.bincount(pairs[:, 0], minlength=hi - lo))
-            keys.append(pairs[:, 1])
-        counts, sizes, keys = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (counts, sizes, keys))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys.astype(np.int64)))
-        return pa.StructArray.from_arrays([pa.array(counts.astype(np.int64)), lists], names=["n_lines", "leaves"])
+            sizes.append(np.bincount(rows[:, 0], minlength=hi - lo))
+            for x, v in zip(columns, (rows[:, 1], leaf.view(np.int64), whole.view(np.int64), rows[:, 3]), strict=True):
+                x.append(v)
+        return pa.StructArray.from_arrays([pa.array(_joined(counts)), _listed(sizes, columns, ["line", "leaf", "whole", "n"])], names=["n_lines", "lines"])
+
+    return mapped
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
+
+
+def _offsets(sizes: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(_joined(sizes))]).astype(np.int32))
+
+
+def _listed(sizes: list[np.ndarray], columns: list[list[np.ndarray]], names: list[str], *more: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(_offsets(sizes), pa.StructArray.from_arrays([*(pa.array(_joined(c)) for c in columns), *more], names=names))
 
-    return leaves
 
+def _has(bits: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
+    low = keys & np.uint64((1 << width) - 1)
+    return ((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
 
-def _shared_lines(t: Tree, bitmap):
-    """Lines whose leaf the bitmap has, with their tokens."""
 
-    @arrow_udf("array<struct<line:long,leaf:long,whole:long,tokens:array<long>>>")
-    def lines(texts: pa.Array) -> pa.Array:
-        bits = bitmap.value
-        sizes, out, tokens, lengths = [], [[], [], []], [], []
+def _segments(h: np.ndarray, rows: np.ndarray, leaf: np.ndarray, t: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's tokens after the leading ones in up to t.segments runs of equal length: a hash of leaf, place
+    and tokens for each run, and the line it is of."""
+    begin, size = rows[:, 2], rows[:, 3]
+    tail = np.maximum(size - t.lead, 0)
+    line = np.repeat(np.arange(len(rows)), tail)
+    p = np.arange(tail.sum()) - np.repeat(np.cumsum(tail) - tail, tail)
+    if not len(p):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    j = p * np.minimum(t.segments, tail)[line] // tail[line]
+    x = mix(h[begin[line] + t.lead + p] + mix(p.astype(np.uint64) * _ODD))
+    cut_at = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (j[1:] != j[:-1])]))
+    of = line[cut_at]
+    return mix(np.add.reduceat(x, cut_at) + leaf[of] + j[cut_at].astype(np.uint64) * _ODD), of
+
+
+def _runs(t: Tree, leaves):
+    """Segments of the lines whose leaf the bitmap has, with the line's hash."""
+
+    @arrow_udf("array<struct<segment:long,whole:long>>")
+    def runs(texts: pa.Array) -> pa.Array:
+        sizes, columns = [], [[], []]
         for lo, hi, _, h, rows, leaf, whole in _lines(texts, t):
-            low = leaf & np.uint64((1 << t.sketch_bits) - 1)
-            pick = np.flatnonzero((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
-            rows = rows[pick]
+            pick = np.flatnonzero(_has(leaves.value, leaf, t.sketch_bits) & (rows[:, 3] >= t.short))
+            segment, of = _segments(h, rows[pick], leaf[pick], t)
+            sizes.append(np.bincount(rows[pick][of, 0], minlength=hi - lo))
+            columns[0].append(segment.view(np.int64))
+            columns[1].append(whole[pick][of].view(np.int64))
+        return _listed(sizes, columns, ["segment", "whole"])
+
+    return runs
+
+
+def _tokens(t: Tree, leaves, segments):
+    """Lines, within each text, that share a leaf and a segment with others, with their tokens."""
+
+    @arrow_udf("array<struct<leaf:long,whole:long,tokens:array<long>>>")
+    def tokens(texts: pa.Array) -> pa.Array:
+        sizes, columns, lengths, values = [], [[], []], [], []
+        for lo, hi, _, h, rows, leaf, whole in _lines(texts, t):
+            pick = np.flatnonzero(_has(leaves.value, leaf, t.sketch_bits) & (rows[:, 3] >= t.short))
+            segment, of = _segments(h, rows[pick], leaf[pick], t)
+            pick = pick[np.unique(of[_has(segments.value, segment, t.sketch_bits)])]
+            rows, leaf, whole = rows[pick], leaf[pick], whole[pick]
             sizes.append(np.bincount(rows[:, 0], minlength=hi - lo))
-            for x, v in zip(out, (rows[:, 1], leaf[pick].view(np.int64), whole[pick].view(np.int64)), strict=True):
-                x.append(v)
-            lengths.append(rows[:, 3])
-            tokens.append(h[np.repeat(rows[:, 2] - np.cumsum(rows[:, 3]) + rows[:, 3], rows[:, 3]) + np.arange(rows[:, 3].sum())].view(np.int64))
-        if not sizes:
-            return pa.array([], pa.list_(pa.struct([("line", pa.int64()), ("leaf", pa.int64()), ("whole", pa.int64()), ("tokens", pa.list_(pa.int64()))])))
-        offsets = [pa.array(np.concatenate([[0], np.cumsum(np.concatenate(x))]).astype(np.int32)) for x in (sizes, lengths)]
-        fields = [pa.array(np.concatenate(x)) for x in out] + [pa.ListArray.from_arrays(offsets[1], pa.array(np.concatenate(tokens)))]
-        return pa.ListArray.from_arrays(offsets[0], pa.StructArray.from_arrays(fields, names=["line", "leaf", "whole", "tokens"]))
+            columns[0].append(leaf.view(np.int64))
+            columns[1].append(whole.view(np.int64))
+            n = rows[:, 3]
+            lengths.append(n)
+            values.append(h[np.repeat(rows[:, 2] - np.cumsum(n) + n, n) + np.arange(n.sum())].view(np.int64))
+        return _listed(sizes, columns, ["leaf", "whole", "tokens"], pa.ListArray.from_arrays(_offsets(lengths), pa.array(_joined(values))))
 
-    return lines
+    return tokens
 
 
 def recurring_lines(docs: DataFrame, t: Tree = Tree()) -> DataFrame:
@@ -115,39 +165,41 @@ def recurring_lines(docs: DataFrame, t: Tree = Tree()) -> DataFrame:
     Method: a line goes down the tree by its number of tokens and its leading tokens, tokens with a digit being variable.
     Within a leaf, a token that fewer than t.docs texts have at its position is variable as well. Lines with
     the same constant tokens at the same positions are of one template. Equal lines are counted before anything
-    else is done with them, so a line of a third of all texts is one row; lines whose leaf no other text reaches are
-    set aside by a bitmap of fixed size.
+    else is done with them, so a line of a third of all texts is one row, and only lines that share
+    a leaf and a part with different lines are taken apart: two bitmaps of fixed size tell which.
     """
     spark = docs.sparkSession
     content = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("doc_id").alias("rowkey"), _leaves(t)(F.col("text")).alias("s"))
-    rows = cut(rows.select("doc_id", "rowkey", "s.n_lines", "s.leaves"))
-    met = rows.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
-    bitmap = spark.sparkContext.broadcast(sketch(met, F.col("leaf"), t.sketch_bits))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("doc_id").alias("rowkey"), content.alias("content"), F.explode(_shared_lines(t, bitmap)(F.col("text"))).alias("l"))
-    found = cut(found.select("doc_id", "rowkey", "content", "l.*"))
-
-    # one row per different line, with the number of texts that have it
-    lines = found.groupBy("leaf", "whole", "content").agg(F.first("tokens").alias("tokens"))
-    lines = lines.groupBy("leaf", "whole").agg(F.count("*").alias("texts"), F.first("tokens").alias("tokens"))
-    busy = lines.groupBy("leaf").agg(F.sum("texts").alias("all")).where("all > 1")
-    lines = cut(lines.join(busy, "leaf", "left_semi"))
-    each = lines.select("leaf", "whole", "texts", F.posexplode("tokens").alias("i", "token"))
-    often = each.groupBy("leaf", "i", "token").agg(F.sum("texts").alias("n")).where((F.col("n") >= t.docs) & (F.col("token") != int(_STAR))).select("leaf", "i", "token", F.lit(True).alias("fixed"))
-    marked = each.join(often, ["leaf", "i", "token"], "left")
-    hashed = F.when(F.col("fixed"), F.xxhash64("i", "token").cast("decimal(20,0)"))
-    template = marked.groupBy("leaf", "whole").agg(F.coalesce(F.sum(hashed), F.lit(0)).alias("template"), F.count("fixed").alias("fixed"), F.count("*").alias("tokens"), F.first("texts").alias("texts"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("doc_id").alias("rowkey"), content.alias("content"), _mapped(t)(F.col("text")).alias("s"))
+    rows = cut(rows.select("doc_id", "rowkey", "content", "s.n_lines", "s.lines"))
+    found = rows.select("doc_id", "rowkey", "content", F.explode("lines").alias("l")).select("doc_id", "rowkey", "content", "l.*")
+
+    # one row per different line, with the number of texts that have it; then leaves that different lines share
+    need = F.when(F.col("n") >= t.long, 2).when(F.col("n") < t.short, t.short_docs).otherwise(t.docs)
+    lines = cut(found.select("leaf", "whole", "n", "content").distinct().groupBy("leaf", "whole", "n").agg(F.count("*").alias("texts")))
+    mixed = lines.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.sum("texts").alias("all")).where((F.col("lines") > 1) & (F.col("all") >= need) & (F.col("n") >= t.short))
+    mixed = cut(mixed.select("leaf"))
+    leaves = spark.sparkContext.broadcast(sketch(mixed, F.col("leaf"), t.sketch_bits))
+    runs = docs.select(F.explode(_runs(t, leaves)(F.col("text"))).alias("r")).select("r.*")
+    shared = runs.groupBy("segment").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b")
+    segments = spark.sparkContext.broadcast(sketch(shared, F.col("segment"), t.sketch_bits))
+    tokens = docs.select(F.explode(_tokens(t, leaves, segments)(F.col("text"))).alias("l")).select("l.*").groupBy("leaf", "whole").agg(F.first("tokens").alias("tokens"))
+    tokens = cut(tokens.join(lines.join(mixed, "leaf", "left_semi").drop("n"), ["leaf", "whole"]))
+    each = tokens.select("leaf", "whole", "texts", F.posexplode("tokens").alias("i", "token"))
+    each = each.select("leaf", "whole", "texts", F.xxhash64("leaf", "i", "token").alias("place"), (F.col("token") == int(_STAR)).alias("star"))
+    often = each.where("not star").groupBy("place").agg(F.sum("texts").alias("often")).where(F.col("often") >= t.docs)
+    marked = each.join(often, "place", "left")
+    template = marked.groupBy("leaf", "whole").agg(F.coalesce(F.sum(F.when(F.col("often").isNotNull(), F.col("place").cast("decimal(20,0)"))), F.lit(0)).alias("template"), F.count("often").alias("fixed"), F.count("*").alias("n"), F.first("texts").alias("texts"))
     template = cut(template)
     totals = template.groupBy("leaf", "template").agg(F.sum("texts").alias("all"))
-    template = template.join(totals, ["leaf", "template"])
-    need = F.when(F.col("tokens") >= t.long, 2).when(F.col("tokens") < t.short, t.short_docs).otherwise(t.docs)
-    bad = template.where((F.col("texts") >= need) | (F.col("all") >= need) & (F.col("fixed") >= t.constant * F.col("tokens")) & (F.col("tokens") >= t.short)).select("leaf", "whole")
+    general = template.join(totals, ["leaf", "template"]).where((F.col("all") >= need) & (F.col("fixed") >= t.constant * F.col("n"))).select("leaf", "whole")
+    bad = lines.where(F.col("texts") >= need).select("leaf", "whole").union(general).distinct()
     n = (bad := cut(bad)).count()
     side = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
     dropped = found.select("doc_id", "rowkey", "line", "leaf", "whole").join(side(bad), ["leaf", "whole"], "left_semi")
     dropped = dropped.groupBy("doc_id", "rowkey").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
     d = dropped.select(F.col("doc_id").alias("d_id"), F.col("rowkey").alias("d_row"), "dropped")
-    out = rows.drop("leaves").join(d, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("rowkey") == F.col("d_row")), "left")
+    out = rows.drop("lines", "content").join(d, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("rowkey") == F.col("d_row")), "left")
     empty = F.array().cast("array<bigint>")
     return out.select("doc_id", "rowkey", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", empty).alias("dropped"))
 

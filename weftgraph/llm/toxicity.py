@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,14 @@ def _bag(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), np.minimum(counts, 65535).astype(np.uint16)
 
 
+def _bags(texts: Iterable[str], s: Settings, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bags of texts, as views of large arrays: many small ones would leave the driver's memory in pieces."""
+    found = iter(texts)
+    while part := [_bag(t, s) for t in islice(found, block)]:
+        ends = np.cumsum([len(ids) for ids, _ in part])[:-1]
+        yield from zip(*(np.split(np.concatenate(x), ends) for x in zip(*part, strict=True)), strict=True)
+
+
 def train(texts: Iterable[str], labels: list[int], s: Settings = Settings()) -> tuple[np.ndarray, float]:
     """Fit embeddings and softmax together; returns what each subword adds to the log-odds, and the bias.
 
@@ -83,7 +91,7 @@ def train(texts: Iterable[str], labels: list[int], s: Settings = Settings()) ->
     out = rng.normal(0, 1, (s.dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     sum_emb, sum_out, sum_bias = np.full(size, 1e-8, np.float32), np.full(out.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    bags = [_bag(t, s) for t in texts]
+    bags = list(_bags(texts, s))
     for _ in range(max(4, min(15, s.updates // len(bags)))):
         for i in rng.permutation(len(bags)):
             ids, counts = bags[i]
@@ -151,11 +159,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
         def score(texts: pa.Array) -> pa.Array:
             odds, bias = shared.value
             parts = []
-            for lo, hi, data, at in pieces(texts, WORD_BYTES, 1 << 20):
+            for lo, hi, data, at in pieces(texts, WORD_BYTES):
                 total, n = np.zeros(hi - lo), np.zeros(hi - lo)
                 data, at = b" " + data, at + 1
                 # long runs are taken in blocks that overlap by one n-gram; the second byte tells an n-gram's text
-                step = 1 << 21
+                step = 1 << 19
                 for here in range(0, len(data), step):
                     for ok, ids in subwords(data[here : here + step + s.longest - 1], s):
                         mine = ok < step
