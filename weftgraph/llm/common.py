@@ -56,6 +56,19 @@ def materialised(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Bytes of rows that go to a Python worker at once: a batch is held by the executor and by its worker.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Bound Arrow batches by bytes, as texts differ in length by orders of magnitude; a bound set by the user stays."""
+    conf = df.sparkSession.conf
+    now = str(conf.get(_BATCH_KEY, None)).lower().rstrip("b")
+    if not now.isdigit() or int(now) == _BATCH_DEFAULT:
+        conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def fold_case(text: Column) -> Column:
     """Lower-case A-Z only; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

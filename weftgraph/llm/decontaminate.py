@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftgraph.llm.common import CHUNK, WORD_BYTES, cut, grams, hashed_words, without
+from weftgraph.llm.common import CHUNK, WORD_BYTES, bounded_batches, cut, grams, hashed_words, without
 
 _NONE = np.uint64(2**64 - 1)
 
@@ -199,6 +199,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     """
     assert 0 < k <= window
     spark = docs.sparkSession
+    bounded_batches(docs)
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut, keep_rows, row_hash
+from weftgraph.llm.common import bounded_batches, cut, keep_rows, row_hash
 
 _BLANKS = " \t\n\x0b\f\r"
 
@@ -85,6 +85,7 @@ def exact_groups(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     partition.
     """
     spark = docs.sparkSession
+    bounded_batches(docs)
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     norm = normalised(F.col("text"))
     docs = docs.select(F.col("doc_id").cast("long").alias("rid"), "text")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
-from weftgraph.llm.common import without
+from weftgraph.llm.common import bounded_batches, without
 
 #: Elements whose content is never text of the page, up to their end tag.
 RAW = frozenset("script style noscript template title textarea iframe object svg math canvas audio video select xmp noembed noframes".split())
@@ -164,6 +164,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     comments and scripts reach to the page's end; cut-off tags are dropped. Repeated rows and other columns
     stay; columns with the added names are replaced.
     """
+    bounded_batches(pages)
     pages = without(pages, "text", "n_chars")
     kept = [F.col(f"`{c}`") for c in pages.columns]
     out = pages.withColumn("text", _main_text(F.col("html")))

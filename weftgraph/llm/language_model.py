@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftgraph.llm.common import CHUNK, TOKEN_BYTES, cut, hash_words, held_in, pieces
+from weftgraph.llm.common import CHUNK, TOKEN_BYTES, bounded_batches, cut, hash_words, held_in, pieces
 
 #: The hash of the token that ends a text.
 END = np.uint64(2)
@@ -258,6 +258,7 @@ def language_model(docs: DataFrame, m: Model = Model()) -> DataFrame:
     count, in which one unseen token counts as well. Tokens are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
+    bounded_batches(docs)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     held = held_in(F.col("doc_id"), 1)
     learn = docs.where(~held)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from weftgraph.llm.common import WORD_BYTES, pieces, without
+from weftgraph.llm.common import WORD_BYTES, bounded_batches, pieces, without
 
 #: Phrases of the base scan, as words, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -190,6 +190,7 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     stay; columns with the added names are replaced.
     """
     names = [f.name for f in _KIND]
+    bounded_batches(docs)
     docs = without(docs, *names, "_marks")
     kept = [F.col(f"`{c}`") for c in docs.columns]
     return docs.withColumn("_marks", _scan(F.col("text"))).select(*kept, *[F.col(f"_marks.{n}") for n in names])

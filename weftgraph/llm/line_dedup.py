@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftgraph.llm.common import BROADCAST_ROWS, cut, hash_words, mix, pieces, row_hash, sketch, without
+from weftgraph.llm.common import BROADCAST_ROWS, bounded_batches, cut, hash_words, mix, pieces, row_hash, sketch, without
 
 _PLAIN = bytes(range(256))
 _BLANK = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
@@ -169,6 +169,7 @@ def recurring_lines(docs: DataFrame, t: Tree = Tree()) -> DataFrame:
     a leaf and a part with different lines are taken apart: two bitmaps of fixed size tell which.
     """
     spark = docs.sparkSession
+    bounded_batches(docs)
     content = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("doc_id").alias("rowkey"), content.alias("content"), _mapped(t)(F.col("text")).alias("s"))
     rows = cut(rows.select("doc_id", "rowkey", "content", "s.n_lines", "s.lines"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftgraph.llm.common import CHUNK, WORD_BYTES, components, cut, grams, hashed_words, keep_rows, mix, row_hash, sketch
+from weftgraph.llm.common import CHUNK, WORD_BYTES, bounded_batches, components, cut, grams, hashed_words, keep_rows, mix, row_hash, sketch
 
 
 @dataclass(frozen=True)
@@ -229,6 +229,7 @@ def jaccard_join(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     pairs. Only sets of candidates are shuffled: a bitmap of fixed size tells the others apart.
     """
     spark = docs.sparkSession
+    bounded_batches(docs)
     sign = _signer(f)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("doc_id").alias("rowkey"), sign(F.col("text")).alias("s"))
     rows = cut(rows.select("doc_id", "rowkey", "s.fp", "s.labels"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftgraph.llm.common import WORD_BYTES, held_in, mix, pieces, without
+from weftgraph.llm.common import WORD_BYTES, bounded_batches, held_in, mix, pieces, without
 
 
 @dataclass(frozen=True)
@@ -148,6 +148,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
     bias alone. Without labelled rows every score is 0. Null ids count as the empty text for the fold; null labels are ignored; repeated rows score alike. Columns
     with the added names are replaced.
     """
+    bounded_batches(docs)
     docs = without(docs, "held_out", "score", "predicted", "_score")
     model = fit(docs, labels, s)
     if model is None:
