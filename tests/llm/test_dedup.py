@@ -164,3 +164,17 @@ def test_word_kernels_split_long_texts():
             for w, k in zip(words(t), got, strict=True):
                 assert names.setdefault(w, k) == k
         assert len(set(names.values())) == len(names)
+
+
+def test_batches_are_bounded_unless_the_user_says_otherwise(spark):
+    key, df = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(1)
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        common.bounded_batches(df)
+        assert int(spark.conf.get(key).rstrip("b")) == common.BATCH_BYTES
+        spark.conf.set(key, "1000000")
+        common.bounded_batches(df)
+        assert int(spark.conf.get(key).rstrip("b")) == 1_000_000
+    finally:
+        spark.conf.set(key, before)
