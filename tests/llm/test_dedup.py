@@ -130,6 +130,12 @@ def test_recurring_lines(spark):
     assert recurring_lines(docs.limit(0)).count() == 0
 
 
+def test_recurring_lines_of_few_tokens(spark):
+    rows = [(i, f"All rights reserved.\nPosted by {n} here\n{own}") for i, (n, own) in enumerate([("Ann", "one fish swims"), ("Bob", "two cats"), ("Cid", "dog")])]
+    got = {r.doc_id: list(r.dropped) for r in recurring_lines(docs_of(spark, rows), Tree(sketch_bits=16)).collect()}
+    assert got == {i: [0, 1] for i in range(3)}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]

@@ -22,8 +22,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 class Tree:
     """lead: leading tokens on a line's way through the tree, after its number of tokens.
 
-    A template recurs if lines of `docs` different texts have it; lines of `long` tokens and over need two, those of fewer
-    than `short` tokens `short_docs`. `constant` is the least share of a template's tokens that are not variable. Lines that agree with no
+    A template recurs if lines of `docs` different texts have it; lines of `long` tokens and over need two.
+    `constant` is the least share of a template's tokens that are not variable. Lines that agree with no
     other line of their leaf in any of `segments` equal parts are taken to have no template: it would need a variable field in
     every part.
     """
@@ -31,8 +31,6 @@ class Tree:
     lead: int = 2
     docs: int = 3
     long: int = 50
-    short: int = 5
-    short_docs: int = 50
     constant: float = 0.6
     segments: int = 8
     sketch_bits: int = 25
@@ -123,7 +121,7 @@ def _runs(t: Tree, leaves):
     def runs(texts: pa.Array) -> pa.Array:
         sizes, columns = [], [[], []]
         for lo, hi, _, h, rows, leaf, whole in _lines(texts, t):
-            pick = np.flatnonzero(_has(leaves.value, leaf, t.sketch_bits) & (rows[:, 3] >= t.short))
+            pick = np.flatnonzero(_has(leaves.value, leaf, t.sketch_bits))
             segment, of = _segments(h, rows[pick], leaf[pick], t)
             sizes.append(np.bincount(rows[pick][of, 0], minlength=hi - lo))
             columns[0].append(segment.view(np.int64))
@@ -140,7 +138,7 @@ def _tokens(t: Tree, leaves, segments):
     def tokens(texts: pa.Array) -> pa.Array:
         sizes, columns, lengths, values = [], [[], []], [], []
         for lo, hi, _, h, rows, leaf, whole in _lines(texts, t):
-            pick = np.flatnonzero(_has(leaves.value, leaf, t.sketch_bits) & (rows[:, 3] >= t.short))
+            pick = np.flatnonzero(_has(leaves.value, leaf, t.sketch_bits))
             segment, of = _segments(h, rows[pick], leaf[pick], t)
             pick = pick[np.unique(of[_has(segments.value, segment, t.sketch_bits)])]
             rows, leaf, whole = rows[pick], leaf[pick], whole[pick]
@@ -176,9 +174,9 @@ def recurring_lines(docs: DataFrame, t: Tree = Tree()) -> DataFrame:
     found = rows.select("doc_id", "rowkey", "content", F.explode("lines").alias("l")).select("doc_id", "rowkey", "content", "l.*")
 
     # one row per different line, with the number of texts that have it; then leaves that different lines share
-    need = F.when(F.col("n") >= t.long, 2).when(F.col("n") < t.short, t.short_docs).otherwise(t.docs)
+    need = F.when(F.col("n") >= t.long, 2).otherwise(t.docs)
     lines = cut(found.select("leaf", "whole", "n", "content").distinct().groupBy("leaf", "whole", "n").agg(F.count("*").alias("texts")))
-    mixed = lines.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.sum("texts").alias("all")).where((F.col("lines") > 1) & (F.col("all") >= need) & (F.col("n") >= t.short))
+    mixed = lines.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.sum("texts").alias("all")).where((F.col("lines") > 1) & (F.col("all") >= need))
     mixed = cut(mixed.select("leaf"))
     leaves = spark.sparkContext.broadcast(sketch(mixed, F.col("leaf"), t.sketch_bits))
     runs = docs.select(F.explode(_runs(t, leaves)(F.col("text"))).alias("r")).select("r.*")
