@@ -136,6 +136,17 @@ def test_recurring_lines_of_few_tokens(spark):
     assert got == {i: [0, 1] for i in range(3)}
 
 
+def test_recurring_lines_count_each_text_once(spark):
+    recipe = "Add the red onion to the pan\nAdd the green pepper to the pan\nAdd the white garlic to the pan"
+    numbers = ["1 2 3 4 5", "6 7 8 9 10", "11 12 13 14 15"]
+    rows = [(0, recipe)] + [(1 + i, f"{x}\n2024 10 11 12 13") for i, x in enumerate(numbers)]
+    got = {r.doc_id: list(r.dropped) for r in recurring_lines(docs_of(spark, rows), Tree(sketch_bits=16)).collect()}
+    assert got == {0: [], 1: [1], 2: [1], 3: [1]}
+    more = [(10, "Add the black pepper to the pan"), (11, "Add the fresh basil to the pan")]
+    got = {r.doc_id: list(r.dropped) for r in recurring_lines(docs_of(spark, rows + more), Tree(sketch_bits=16)).collect()}
+    assert got == {0: [0, 1, 2], 1: [1], 2: [1], 3: [1], 10: [0], 11: [0]}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -37,8 +37,8 @@ class Tree:
 
 
 def _lines(texts: pa.Array, t: Tree):
-    """For runs of texts: token hashes, and for each line with tokens its text, number, first token, tokens, leaf and
-    line hash; and each text's number of lines. Tokens with a digit are variable."""
+    """For runs of texts: token hashes, and for each line with tokens its text, number, first token, tokens and tokens
+    without a digit, leaf, line hash, and line hash with its digits; and each text's number of lines. Tokens with a digit are variable."""
     for lo, hi, raw, at in pieces(texts, _PLAIN):
         starts, h = hash_words(raw.translate(_BLANK))
         b = np.frombuffer(raw, np.uint8)
@@ -48,35 +48,40 @@ def _lines(texts: pa.Array, t: Tree):
         first_line = np.concatenate([[0], np.cumsum(n_lines)[:-1]])
         n_lines[np.diff(at) == 1] = 0
         if not len(h):
-            yield lo, hi, n_lines, h, np.empty((0, 4), np.int64), h, h
+            yield lo, hi, n_lines, h, np.empty((0, 5), np.int64), h, h, h
             continue
         digits = np.add.reduceat(((b >= 48) & (b <= 57)).astype(np.int32), starts)
-        h = np.where(digits > 0, _STAR, h)
+        star = digits > 0
         line = np.searchsorted(ends, starts)
         begin = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
         size = np.diff(np.append(begin, len(h)))
         place = (np.arange(len(h)) - np.repeat(begin, size)).astype(np.uint64)
-        whole = np.add.reduceat(mix(h + mix(place * _ODD)), begin) + size.astype(np.uint64)
+        place = mix(place * _ODD)
+        placed = mix(h + place)
+        exact = np.add.reduceat(placed, begin) + size.astype(np.uint64)
+        placed[star] = mix(_STAR + place[star])
+        h = np.where(star, _STAR, h)
+        whole = np.add.reduceat(placed, begin) + size.astype(np.uint64)
         leaf = size.astype(np.uint64) * _ODD
         for j in range(t.lead):
             leaf = mix(leaf + np.where(size > j, h[np.minimum(begin + j, len(h) - 1)], np.uint64(0)))
         which = line[begin]
-        rows = np.stack([of_text[which], which - first_line[of_text[which]], begin, size], axis=1)
-        yield lo, hi, n_lines, h, rows, leaf, whole
+        rows = np.stack([of_text[which], which - first_line[of_text[which]], begin, size, np.add.reduceat((~star).astype(np.int64), begin)], axis=1)
+        yield lo, hi, n_lines, h, rows, leaf, whole, exact
 
 
 def _mapped(t: Tree):
-    """Number of lines, and the lines with tokens: number, leaf, hash and number of tokens."""
+    """Number of lines, and the lines with tokens: number, leaf, hashes and numbers of tokens and of those without a digit."""
 
-    @arrow_udf("struct<n_lines:long,lines:array<struct<line:long,leaf:long,whole:long,n:long>>>")
+    @arrow_udf("struct<n_lines:long,lines:array<struct<line:long,leaf:long,whole:long,exact:long,n:long,plain:long>>>")
     def mapped(texts: pa.Array) -> pa.Array:
-        counts, sizes, columns = [], [], [[], [], [], []]
-        for lo, hi, n_lines, _, rows, leaf, whole in _lines(texts, t):
+        counts, sizes, columns = [], [], [[], [], [], [], [], []]
+        for lo, hi, n_lines, _, rows, leaf, whole, exact in _lines(texts, t):
             counts.append(n_lines)
             sizes.append(np.bincount(rows[:, 0], minlength=hi - lo))
-            for x, v in zip(columns, (rows[:, 1], leaf.view(np.int64), whole.view(np.int64), rows[:, 3]), strict=True):
+            for x, v in zip(columns, (rows[:, 1], leaf.view(np.int64), whole.view(np.int64), exact.view(np.int64), rows[:, 3], rows[:, 4]), strict=True):
                 x.append(v)
-        return pa.StructArray.from_arrays([pa.array(_joined(counts)), _listed(sizes, columns, ["line", "leaf", "whole", "n"])], names=["n_lines", "lines"])
+        return pa.StructArray.from_arrays([pa.array(_joined(counts)), _listed(sizes, columns, ["line", "leaf", "whole", "exact", "n", "plain"])], names=["n_lines", "lines"])
 
     return mapped
 
@@ -120,7 +125,7 @@ def _runs(t: Tree, leaves):
     @arrow_udf("array<struct<segment:long,whole:long>>")
     def runs(texts: pa.Array) -> pa.Array:
         sizes, columns = [], [[], []]
-        for lo, hi, _, h, rows, leaf, whole in _lines(texts, t):
+        for lo, hi, _, h, rows, leaf, whole, _ in _lines(texts, t):
             pick = np.flatnonzero(_has(leaves.value, leaf, t.sketch_bits))
             segment, of = _segments(h, rows[pick], leaf[pick], t)
             sizes.append(np.bincount(rows[pick][of, 0], minlength=hi - lo))
@@ -132,27 +137,39 @@ def _runs(t: Tree, leaves):
 
 
 def _tokens(t: Tree, leaves, segments):
-    """Lines, within each text, that share a leaf and a segment with others, with their tokens."""
+    """Lines that share a leaf and a segment with others, once within a run of texts, with hashes of leaf, place and token of
+    their tokens without a digit."""
 
-    @arrow_udf("array<struct<leaf:long,whole:long,tokens:array<long>>>")
+    @arrow_udf("array<struct<leaf:long,whole:long,places:array<long>>>")
     def tokens(texts: pa.Array) -> pa.Array:
         sizes, columns, lengths, values = [], [[], []], [], []
-        for lo, hi, _, h, rows, leaf, whole in _lines(texts, t):
+        for lo, hi, _, h, rows, leaf, whole, _ in _lines(texts, t):
             pick = np.flatnonzero(_has(leaves.value, leaf, t.sketch_bits))
             segment, of = _segments(h, rows[pick], leaf[pick], t)
             pick = pick[np.unique(of[_has(segments.value, segment, t.sketch_bits)])]
+            pick = pick[np.sort(np.unique(whole[pick], return_index=True)[1])]
             rows, leaf, whole = rows[pick], leaf[pick], whole[pick]
             sizes.append(np.bincount(rows[:, 0], minlength=hi - lo))
             columns[0].append(leaf.view(np.int64))
             columns[1].append(whole.view(np.int64))
             n = rows[:, 3]
-            lengths.append(n)
-            values.append(h[np.repeat(rows[:, 2] - np.cumsum(n) + n, n) + np.arange(n.sum())].view(np.int64))
-        return _listed(sizes, columns, ["leaf", "whole", "tokens"], pa.ListArray.from_arrays(_offsets(lengths), pa.array(_joined(values))))
+            lengths.append(rows[:, 4])
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            token = h[np.repeat(rows[:, 2], n) + place]
+            token = mix(mix(token + mix(place.astype(np.uint64) * _ODD)) + np.repeat(leaf, n))[token != _STAR]
+            values.append(token.view(np.int64))
+        return _listed(sizes, columns, ["leaf", "whole", "places"], pa.ListArray.from_arrays(_offsets(lengths), pa.array(_joined(values))))
 
     return tokens
 
 
+def _recurring(lines: DataFrame, need: Column, *keys: str) -> DataFrame:
+    """The keys that lines of `need` different texts have, of lines with texts and content: one row per text of a line that
+    fewer texts have, one row without content for any other."""
+    once = lines.groupBy(*keys, "n", "content").agg(F.max("texts").alias("texts"))
+    return once.groupBy(*keys, "n").agg(F.max("texts").alias("texts"), F.count("content").alias("all")).where((F.col("texts") >= need) | (F.col("all") >= need)).select(*keys).distinct()
+
+
 def recurring_lines(docs: DataFrame, t: Tree = Tree()) -> DataFrame:
     """(doc_id, rowkey, n_lines, n_dropped, dropped): one row per row of docs; dropped lists line numbers from 0.
 
@@ -162,8 +179,9 @@ def recurring_lines(docs: DataFrame, t: Tree = Tree()) -> DataFrame:
 
     Method: a line goes down the tree by its number of tokens and its leading tokens, tokens with a digit being variable.
     Within a leaf, a token that fewer than t.docs texts have at its position is variable as well. Lines with
-    the same constant tokens at the same positions are of one template. Equal lines are counted before anything
-    else is done with them, so a line of a third of all texts is one row, and only lines that share
+    the same constant tokens at the same positions are of one template. A text counts once, however many lines of a
+    template it has, and lines that are equal down to their digits need no constant tokens. Equal lines are counted before
+    anything else is done with them, so a line of a third of all texts is one row, and only lines that share
     a leaf and a part with different lines are taken apart: two bitmaps of fixed size tell which.
     """
     spark = docs.sparkSession
@@ -175,27 +193,34 @@ def recurring_lines(docs: DataFrame, t: Tree = Tree()) -> DataFrame:
 
     # one row per different line, with the number of texts that have it; then leaves that different lines share
     need = F.when(F.col("n") >= t.long, 2).otherwise(t.docs)
-    lines = cut(found.select("leaf", "whole", "n", "content").distinct().groupBy("leaf", "whole", "n").agg(F.count("*").alias("texts")))
+    pairs = cut(found.select("leaf", "whole", "n", "plain", "content").distinct())
+    lines = cut(pairs.groupBy("leaf", "whole", "n", "plain").agg(F.count("*").alias("texts")))
     mixed = lines.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.sum("texts").alias("all")).where((F.col("lines") > 1) & (F.col("all") >= need))
     mixed = cut(mixed.select("leaf"))
     leaves = spark.sparkContext.broadcast(sketch(mixed, F.col("leaf"), t.sketch_bits))
     runs = docs.select(F.explode(_runs(t, leaves)(F.col("text"))).alias("r")).select("r.*")
     shared = runs.groupBy("segment").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b")
     segments = spark.sparkContext.broadcast(sketch(shared, F.col("segment"), t.sketch_bits))
-    tokens = docs.select(F.explode(_tokens(t, leaves, segments)(F.col("text"))).alias("l")).select("l.*").groupBy("leaf", "whole").agg(F.first("tokens").alias("tokens"))
-    tokens = cut(tokens.join(lines.join(mixed, "leaf", "left_semi").drop("n"), ["leaf", "whole"]))
-    each = tokens.select("leaf", "whole", "texts", F.posexplode("tokens").alias("i", "token"))
-    each = each.select("leaf", "whole", "texts", F.xxhash64("leaf", "i", "token").alias("place"), (F.col("token") == int(_STAR)).alias("star"))
-    often = each.where("not star").groupBy("place").agg(F.sum("texts").alias("often")).where(F.col("often") >= t.docs)
-    marked = each.join(often, "place", "left")
-    template = marked.groupBy("leaf", "whole").agg(F.coalesce(F.sum(F.when(F.col("often").isNotNull(), F.col("place").cast("decimal(20,0)"))), F.lit(0)).alias("template"), F.count("often").alias("fixed"), F.count("*").alias("n"), F.first("texts").alias("texts"))
-    template = cut(template)
-    totals = template.groupBy("leaf", "template").agg(F.sum("texts").alias("all"))
-    general = template.join(totals, ["leaf", "template"]).where((F.col("all") >= need) & (F.col("fixed") >= t.constant * F.col("n"))).select("leaf", "whole")
-    bad = lines.where(F.col("texts") >= need).select("leaf", "whole").union(general).distinct()
+    places = docs.select(F.explode(_tokens(t, leaves, segments)(F.col("text"))).alias("l")).select("l.*").groupBy("leaf", "whole").agg(F.first("places").alias("places"))
+    places = cut(places.join(lines.join(mixed, "leaf", "left_semi").drop("plain"), ["leaf", "whole"]))
+    few = places.where(F.col("texts") < need).select("leaf", "whole")
+    few = cut(pairs.join(mixed, "leaf", "left_semi").select("leaf", "whole", "content").join(few, ["leaf", "whole"], "left_semi"))
+    each = places.select("leaf", "whole", "n", "texts", F.explode_outer("places").alias("place"))
+    often = _recurring(places.join(few, ["leaf", "whole"], "left").select("n", "texts", "content", F.explode("places").alias("place")), F.lit(t.docs), "place")
+    marked = each.join(often.withColumn("often", F.lit(1)), "place", "left")
+    template = marked.groupBy("leaf", "whole").agg(F.coalesce(F.sum(F.when(F.col("often").isNotNull(), F.col("place").cast("decimal(20,0)"))), F.lit(0)).alias("template"), F.count("often").alias("fixed"), F.first("n").alias("n"), F.first("texts").alias("texts"))
+    template = cut(template.where(F.col("fixed") >= t.constant * F.col("n")))
+    general = template.join(_recurring(template.join(few, ["leaf", "whole"], "left"), need, "leaf", "template"), ["leaf", "template"], "left_semi").select("leaf", "whole")
+    equal = lines.where((F.col("texts") >= need) & (F.col("plain") >= t.constant * F.col("n")))
+    bad = equal.select("leaf", "whole").union(general).distinct()
+    # lines with digits, as they are
+    numbers = found.where("plain < n")
+    same = cut(numbers.select("exact", "n", "content").distinct().groupBy("exact", "n").agg(F.count("*").alias("texts")).where(F.col("texts") >= need).select("exact"))
     n = (bad := cut(bad)).count()
     side = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
-    dropped = found.select("doc_id", "rowkey", "line", "leaf", "whole").join(side(bad), ["leaf", "whole"], "left_semi")
+    dropped = found.select("doc_id", "rowkey", "line", "leaf", "whole").join(side(bad), ["leaf", "whole"], "left_semi").drop("leaf", "whole")
+    side = F.broadcast if same.count() <= BROADCAST_ROWS else (lambda df: df)
+    dropped = dropped.union(numbers.select("doc_id", "rowkey", "line", "exact").join(side(same), "exact", "left_semi").drop("exact"))
     dropped = dropped.groupBy("doc_id", "rowkey").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
     d = dropped.select(F.col("doc_id").alias("d_id"), F.col("rowkey").alias("d_row"), "dropped")
     out = rows.drop("lines", "content").join(d, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("rowkey") == F.col("d_row")), "left")
