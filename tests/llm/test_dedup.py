@@ -147,6 +147,19 @@ def test_recurring_lines_count_each_text_once(spark):
     assert got == {0: [0, 1, 2], 1: [1], 2: [1], 3: [1], 10: [0], 11: [0]}
 
 
+def test_recurring_lines_that_differ_in_every_part(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(58)]
+    names = [[*words[:42], f"x{n}"] for n in "abc"]
+    for k, line in enumerate(names):
+        for j in range(3, 42, 5):
+            line[j] = f"own{'abc'[k]}{words[j]}"
+    changed = [["pass", "age", *words] for _ in range(2)]
+    changed[1][30] = "other"
+    rows = [(i, " ".join(x) + f"\nPosted by {n}") for i, (x, n) in enumerate(zip(names, ["Ann", "Bob", "Cid"], strict=True))] + [(10 + i, " ".join(x)) for i, x in enumerate(changed)]
+    got = {r.doc_id: list(r.dropped) for r in recurring_lines(docs_of(spark, rows), Tree(sketch_bits=16)).collect()}
+    assert got == {0: [0, 1], 1: [0, 1], 2: [0, 1], 10: [0], 11: [0]}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]

@@ -23,16 +23,13 @@ class Tree:
     """lead: leading tokens on a line's way through the tree, after its number of tokens.
 
     A template recurs if lines of `docs` different texts have it; lines of `long` tokens and over need two.
-    `constant` is the least share of a template's tokens that are not variable. Lines that agree with no
-    other line of their leaf in any of `segments` equal parts are taken to have no template: it would need a variable field in
-    every part.
+    `constant` is the least share of a template's tokens that are not variable.
     """
 
     lead: int = 2
     docs: int = 3
     long: int = 50
     constant: float = 0.6
-    segments: int = 8
     sketch_bits: int = 25
 
 
@@ -103,50 +100,15 @@ def _has(bits: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
     return ((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def _segments(h: np.ndarray, rows: np.ndarray, leaf: np.ndarray, t: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Each line's tokens after the leading ones in up to t.segments runs of equal length: a hash of leaf, place
-    and tokens for each run, and the line it is of."""
-    begin, size = rows[:, 2], rows[:, 3]
-    tail = np.maximum(size - t.lead, 0)
-    line = np.repeat(np.arange(len(rows)), tail)
-    p = np.arange(tail.sum()) - np.repeat(np.cumsum(tail) - tail, tail)
-    if not len(p):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    j = p * np.minimum(t.segments, tail)[line] // tail[line]
-    x = mix(h[begin[line] + t.lead + p] + mix(p.astype(np.uint64) * _ODD))
-    cut_at = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (j[1:] != j[:-1])]))
-    of = line[cut_at]
-    return mix(np.add.reduceat(x, cut_at) + leaf[of] + j[cut_at].astype(np.uint64) * _ODD), of
-
-
-def _runs(t: Tree, leaves):
-    """Segments of the lines whose leaf the bitmap has, with the line's hash."""
-
-    @arrow_udf("array<struct<segment:long,whole:long>>")
-    def runs(texts: pa.Array) -> pa.Array:
-        sizes, columns = [], [[], []]
-        for lo, hi, _, h, rows, leaf, whole, _ in _lines(texts, t):
-            pick = np.flatnonzero(_has(leaves.value, leaf, t.sketch_bits))
-            segment, of = _segments(h, rows[pick], leaf[pick], t)
-            sizes.append(np.bincount(rows[pick][of, 0], minlength=hi - lo))
-            columns[0].append(segment.view(np.int64))
-            columns[1].append(whole[pick][of].view(np.int64))
-        return _listed(sizes, columns, ["segment", "whole"])
-
-    return runs
-
-
-def _tokens(t: Tree, leaves, segments):
-    """Lines that share a leaf and a segment with others, once within a run of texts, with hashes of leaf, place and token of
+def _places(t: Tree, leaves):
+    """Lines whose leaf the bitmap has, once within a run of texts, with hashes of leaf, place and token of
     their tokens without a digit."""
 
     @arrow_udf("array<struct<leaf:long,whole:long,places:array<long>>>")
-    def tokens(texts: pa.Array) -> pa.Array:
+    def places(texts: pa.Array) -> pa.Array:
         sizes, columns, lengths, values = [], [[], []], [], []
         for lo, hi, _, h, rows, leaf, whole, _ in _lines(texts, t):
             pick = np.flatnonzero(_has(leaves.value, leaf, t.sketch_bits))
-            segment, of = _segments(h, rows[pick], leaf[pick], t)
-            pick = pick[np.unique(of[_has(segments.value, segment, t.sketch_bits)])]
             pick = pick[np.sort(np.unique(whole[pick], return_index=True)[1])]
             rows, leaf, whole = rows[pick], leaf[pick], whole[pick]
             sizes.append(np.bincount(rows[:, 0], minlength=hi - lo))
@@ -160,7 +122,7 @@ def _tokens(t: Tree, leaves, segments):
             values.append(token.view(np.int64))
         return _listed(sizes, columns, ["leaf", "whole", "places"], pa.ListArray.from_arrays(_offsets(lengths), pa.array(_joined(values))))
 
-    return tokens
+    return places
 
 
 def _recurring(lines: DataFrame, need: Column, *keys: str) -> DataFrame:
@@ -178,11 +140,11 @@ def recurring_lines(docs: DataFrame, t: Tree = Tree()) -> DataFrame:
     a line must recur in different texts. Other columns are ignored; rows that repeat get equal results.
 
     Method: a line goes down the tree by its number of tokens and its leading tokens, tokens with a digit being variable.
-    Within a leaf, a token that fewer than t.docs texts have at its position is variable as well. Lines with
+    Within a leaf, a token that fewer texts than a template needs have at its position is variable as well. Lines with
     the same constant tokens at the same positions are of one template. A text counts once, however many lines of a
     template it has, and lines that are equal down to their digits need no constant tokens. Equal lines are counted before
     anything else is done with them, so a line of a third of all texts is one row, and only lines that share
-    a leaf and a part with different lines are taken apart: two bitmaps of fixed size tell which.
+    a leaf with different lines are taken apart: a bitmap of fixed size tells which.
     """
     spark = docs.sparkSession
     bounded_batches(docs)
@@ -198,15 +160,12 @@ def recurring_lines(docs: DataFrame, t: Tree = Tree()) -> DataFrame:
     mixed = lines.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.sum("texts").alias("all")).where((F.col("lines") > 1) & (F.col("all") >= need))
     mixed = cut(mixed.select("leaf"))
     leaves = spark.sparkContext.broadcast(sketch(mixed, F.col("leaf"), t.sketch_bits))
-    runs = docs.select(F.explode(_runs(t, leaves)(F.col("text"))).alias("r")).select("r.*")
-    shared = runs.groupBy("segment").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b")
-    segments = spark.sparkContext.broadcast(sketch(shared, F.col("segment"), t.sketch_bits))
-    places = docs.select(F.explode(_tokens(t, leaves, segments)(F.col("text"))).alias("l")).select("l.*").groupBy("leaf", "whole").agg(F.first("places").alias("places"))
+    places = docs.select(F.explode(_places(t, leaves)(F.col("text"))).alias("l")).select("l.*").groupBy("leaf", "whole").agg(F.first("places").alias("places"))
     places = cut(places.join(lines.join(mixed, "leaf", "left_semi").drop("plain"), ["leaf", "whole"]))
     few = places.where(F.col("texts") < need).select("leaf", "whole")
     few = cut(pairs.join(mixed, "leaf", "left_semi").select("leaf", "whole", "content").join(few, ["leaf", "whole"], "left_semi"))
     each = places.select("leaf", "whole", "n", "texts", F.explode_outer("places").alias("place"))
-    often = _recurring(places.join(few, ["leaf", "whole"], "left").select("n", "texts", "content", F.explode("places").alias("place")), F.lit(t.docs), "place")
+    often = _recurring(places.join(few, ["leaf", "whole"], "left").select("n", "texts", "content", F.explode("places").alias("place")), need, "place")
     marked = each.join(often.withColumn("often", F.lit(1)), "place", "left")
     template = marked.groupBy("leaf", "whole").agg(F.coalesce(F.sum(F.when(F.col("often").isNotNull(), F.col("place").cast("decimal(20,0)"))), F.lit(0)).alias("template"), F.count("often").alias("fixed"), F.first("n").alias("n"), F.first("texts").alias("texts"))
     template = cut(template.where(F.col("fixed") >= t.constant * F.col("n")))
