@@ -269,3 +269,11 @@ def test_foreign_keys_join_like_relationships(spark):
         assert want == got and want
     changed = mutate.set_properties(graphs[1], "B", {"a_id": 2})
     assert rows_of(match(changed, node("a", "A").out("HAS", "b", "B")).select("a.id", "b.id")) == [(1, 10), (1, 11)]
+
+
+def test_strong_components_of_a_long_chain(spark):
+    n = 104
+    nodes = spark.range(1, n + 1)
+    e = spark.createDataFrame([(i, i + 1) for i in range(1, n)] + [(n, n - 1), (50, 49)], "src long, dst long")
+    got = {r.node: r.component for r in algorithms.strong_components(nodes, e).collect()}
+    assert got == {i: {n: n - 1, 50: 49}.get(i, i) for i in range(1, n + 1)}

@@ -47,36 +47,35 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(sizes, "component").select("node", "component", "size")
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): nodes that reach each other, by coloring forwards and confirming backwards."""
-    left = cut(nodes.select(F.col("id").alias("node")))
-    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    done = None
-    for _ in range(rounds):
-        color = left.select("node", F.col("node").alias("color"))
-        while True:
-            pushed = e.join(color, e.src == color.node).select(F.col("dst").alias("node"), "color")
-            new = cut(color.unionByName(pushed).groupBy("node").agg(F.min("color").alias("color")).join(left, "node", "left_semi"))
-            same = new.join(color, ["node", "color"], "left_anti").isEmpty()
-            color = new
-            if same:
-                break
-        # backwards from each color's root, within the color
-        back = color.where("node = color")
-        frontier = back
-        inner = e.join(color.withColumnRenamed("node", "src").withColumnRenamed("color", "c1"), "src").join(color.withColumnRenamed("node", "dst").withColumnRenamed("color", "c2"), "dst").where("c1 = c2").select("src", "dst")
-        while True:
-            near = frontier.join(inner, frontier.node == inner.dst).select(F.col("src").alias("node"), "color").distinct()
-            frontier = cut(near.join(back, "node", "left_anti"))
-            if frontier.isEmpty():
-                break
-            back = cut(back.unionByName(frontier))
-        found = cut(back.select("node", F.col("color").alias("component")))
-        done = found if done is None else done.unionByName(found)
-        left = cut(left.join(found, "node", "left_anti"))
-        if left.isEmpty():
-            break
-        e = cut(e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+def _least_before(left: DataFrame, e: DataFrame, name: str) -> DataFrame:
+    """(node, name): the smallest node that each node is reached from along e, or the node."""
+    color = left.select("node", F.col("node").alias(name))
+    while True:
+        pushed = e.join(color, e.src == color.node).select(F.col("dst").alias("node"), name)
+        new = cut(color.unionByName(pushed).groupBy("node").agg(F.min(name).alias(name)))
+        same = new.join(color, ["node", name], "left_anti").isEmpty()
+        color = new
+        if same:
+            return color
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): nodes that reach each other, named by the smallest of them.
+
+    Each round colors nodes with the smallest node before and after them. Where both agree the component is
+    found; edges between different pairs of colors lie in no component and go. Rounds end when no node is left.
+    """
+    left = cut(nodes.select(F.col("id").alias("node")).distinct())
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    e = cut(e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+    done = left.select("node", F.col("node").alias("component")).limit(0)
+    while not left.isEmpty():
+        back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        color = cut(_least_before(left, e, "before").join(_least_before(left, back, "after"), "node"))
+        done = cut(done.unionByName(color.where("before = after").select("node", F.col("before").alias("component"))))
+        left = color.where("before <> after")
+        ends = [left.select(F.col("node").alias(n), F.struct("before", "after").alias(f"{n}_colors")) for n in ("src", "dst")]
+        e = cut(e.join(ends[0], "src").join(ends[1], "dst").where("src_colors = dst_colors").select("src", "dst"))
     return done
 
 
