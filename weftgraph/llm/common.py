@@ -87,7 +87,7 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def row_hash(doc_id: str, text: str = "text") -> Column:
     """A 64-bit hash of a document's id and text; with the id it names a row, up to exact repetitions."""
-    return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
+    return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
 
 
 #: Rows of a join side that is sent to every executor; the side's rows are counted first.
@@ -107,7 +107,7 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     if not n:
         return docs
     side = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (row_hash("doc_id") == F.col("k_row"))
+    here = F.col("doc_id").eqNullSafe(F.col("k_id")) & (row_hash("doc_id") == F.col("k_row"))
     out = docs.join(side(drop), here, "left_anti")
     if repeats:
         again = docs.join(side(drop.where("any_kept")), here, "left_semi")

@@ -19,7 +19,7 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _BLANKS, "")
 
 
-_RUNS = "rowkey long, rid long, chars long, lead boolean, pid int, run int, size long, open boolean, keep_rid long, keep_chars long, text_sha256 string, edge string"
+_RUNS = "rowkey long, rid {0}, chars long, lead boolean, pid int, run int, size long, open boolean, keep_rid {0}, keep_chars long, text_sha256 string, edge string"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,8 +31,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     pid = TaskContext.get().partitionId()
-    schema = pa.schema([("rowkey", pa.int64()), ("rid", pa.int64()), ("chars", pa.int64()), ("lead", pa.bool_()), ("pid", pa.int32()), ("run", pa.int32()), ("size", pa.int64()), ("open", pa.bool_()), ("keep_rid", pa.int64()), ("keep_chars", pa.int64()), ("text_sha256", pa.string()), ("edge", pa.string())])
     run, text, rows, out, held = 0, None, [], [], 0
+    kind = schema = None
 
     def close(last: bool) -> None:
         nonlocal held
@@ -44,15 +44,18 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = rows[start : start + 50_000]
             m = len(part)
             out.append(pa.record_batch([
-                pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64()),
+                pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], kind), pa.array([r[2] for r in part], pa.int64()),
                 pa.array([start == 0 and i == 0 for i in range(m)], pa.bool_()),
                 pa.array([pid] * m, pa.int32()), pa.array([run] * m, pa.int32()), pa.array([n] * m, pa.int64()), pa.array([first] * m, pa.bool_()),
-                pa.array([keep_rid] * m, pa.int64()), pa.array([keep_chars] * m, pa.int64()), pa.array([digest] * m, pa.string()),
+                pa.array([keep_rid] * m, kind), pa.array([keep_chars] * m, pa.int64()), pa.array([digest] * m, pa.string()),
                 pa.array([text if first and start == 0 and i == 0 else None for i in range(m)], pa.string()),
             ], schema=schema))
         held += n
 
     for batch in batches:
+        if schema is None:
+            kind = batch.schema.field("rid").type
+            schema = pa.schema([("rowkey", pa.int64()), ("rid", kind), ("chars", pa.int64()), ("lead", pa.bool_()), ("pid", pa.int32()), ("run", pa.int32()), ("size", pa.int64()), ("open", pa.bool_()), ("keep_rid", kind), ("keep_chars", pa.int64()), ("text_sha256", pa.string()), ("edge", pa.string())])
         norm = batch.column("norm")
         for t, key, rid, chars in zip(norm.to_pylist(), batch.column("rowkey").to_pylist(), batch.column("rid").to_pylist(), batch.column("chars").to_pylist(), strict=True):
             if t != text:
@@ -75,8 +78,8 @@ def exact_groups(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 
     Texts are equal when identical after white space is deleted; a null text is an empty one. The row with
     the most code points stays, then the smallest doc_id; a null doc_id comes after all others. Rows alike in
-    text length and doc_id are one document repeated: exactly one of them is kept. Other columns are ignored,
-    whatever their names. An empty table gives an empty result.
+    text length and doc_id are one document repeated: exactly one of them is kept. doc_id may be of any ordered type.
+    Other columns are ignored, whatever their names. An empty table gives an empty result.
 
     Method: sampled splitters over a 32-character prefix, a hash of the whole normalised text and a row hash
     range-partition the rows, so that equal texts are neighbours in the global order while one huge group still
@@ -88,12 +91,12 @@ def exact_groups(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     bounded_batches(docs)
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     norm = normalised(F.col("text"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("rid"), "text")
+    docs = docs.select(F.col("doc_id").alias("rid"), "text")
     rows = docs.select("rid", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("chars"), norm.alias("norm"), "text")
     rows = rows.select("*", F.substring("norm", 1, 32).alias("head"), F.xxhash64("norm").alias("whole"), row_hash("rid", "text").alias("rowkey"))
     spread = rows.repartitionByRange(n, "head", "whole", "rowkey").drop("text")
     ordered = spread.sortWithinPartitions("head", "whole", "norm", F.desc("chars"), F.asc_nulls_last("rid"))
-    found = cut(ordered.select("norm", "rowkey", "rid", "chars").mapInArrow(_neighbours, _RUNS))
+    found = cut(ordered.select("norm", "rowkey", "rid", "chars").mapInArrow(_neighbours, _RUNS.format(docs.schema["rid"].dataType.simpleString())))
 
     # Runs at edges: one row per run, then one per text.
     best = F.min(F.struct((-F.col("keep_chars")).alias("c"), F.col("keep_rid").isNull().alias("n"), F.col("keep_rid").alias("i"), F.col("pid").alias("p"), F.col("run").alias("r")))

@@ -231,7 +231,7 @@ def jaccard_join(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(docs)
     sign = _signer(f)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("doc_id").alias("rowkey"), sign(F.col("text")).alias("s"))
+    rows = docs.select("doc_id", row_hash("doc_id").alias("rowkey"), sign(F.col("text")).alias("s"))
     rows = cut(rows.select("doc_id", "rowkey", "s.fp", "s.labels"))
     nodes = rows.where("fp is not null").groupBy("fp").agg(F.count("*").alias("rows"), F.first("labels").alias("labels"))
 

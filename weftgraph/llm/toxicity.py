@@ -115,8 +115,8 @@ def train(texts: Iterable[str], labels: list[int], s: Settings = Settings()) ->
 
 def labelled(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     """A bounded sample of labelled rows outside the held-out fold: text, toxic; in hash order, so reruns agree."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(~held_in(F.col("doc_id"), 0))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~held_in(F.col("doc_id"), 0))
+    known = labels.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     chosen = known.where(~held_in(F.col("doc_id"), 0)).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(s.max_docs)
     return rows.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= s.max_chars * 10 // s.max_docs).orderBy(F.xxhash64("doc_id", "text"), "toxic").limit(s.max_docs).select("text", "toxic")
 
