@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm import common
 from weftgraph.llm.exact_dedup import exact_dedup, exact_groups
 from weftgraph.llm.line_dedup import Tree, drop_recurring_lines, recurring_lines
-from weftgraph.llm.near_dups import Forest, jaccard_join, near_dedup
+from weftgraph.llm.near_dups import Forest, jaccard_join, near_dedup, tries
 
 AWKWARD = [(1, "a b"), (2, "ab "), (3, "a\tb\n"), (4, None), (5, ""), (6, " \x0b\f"), (7, "x" * 300_000), (None, "ab"), (8, "é ß 漢字"), (8, "é ß 漢字"), (9, "é ß")]
 
@@ -90,10 +90,10 @@ def brute(rows):
     return sorted((i, least[root(x)] if least[root(x)] < float("inf") else None, n[x]) for x, (i, _) in enumerate(rows) if i is not None)
 
 
-@pytest.mark.parametrize("tile", [2, 256])
-def test_jaccard_join_equals_brute_force(spark, tile):
+@pytest.mark.parametrize(("tile", "tile_bytes"), [(2, 1 << 24), (256, 1 << 24), (256, 1000)])
+def test_jaccard_join_equals_brute_force(spark, tile, tile_bytes):
     rows = family(2)
-    got = jaccard_join(docs_of(spark, rows), Forest(tile=tile, sketch_bits=16))
+    got = jaccard_join(docs_of(spark, rows), Forest(tile=tile, tile_bytes=tile_bytes, sketch_bits=16))
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got.collect() if r.doc_id is not None) == brute(rows)
 
 
@@ -107,10 +107,69 @@ def test_near_dedup_keeps_one_of_each_class(spark):
     assert near_dedup(docs.limit(0)).count() == 0
 
 
-def test_prefix_is_the_longest_that_reaches_the_recall():
+def test_the_floor_is_the_longest_prefix_that_reaches_the_recall():
     f = Forest()
     miss = lambda d: (1 - f.threshold**d) ** f.trees
-    assert miss(f.prefix) <= 1 - f.recall < miss(f.prefix + 1)
+    assert miss(f.floor) <= 1 - f.recall < miss(f.floor + 1)
+    assert list(f.levels) == [8, 7, 6]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_tries_join_what_shares_a_prefix(spark, partitions):
+    """At each depth, ties of that depth and deeper ones connect exactly the nodes that share a prefix in some trie."""
+    rng = random.Random(17)
+    f = Forest(trees=3)
+    nodes = []
+    for i in range(120):
+        labels = [[rng.randrange(2) if k < 6 else rng.randrange(3) for k in range(8)] for _ in range(f.trees)]
+        nodes.append((bytes([i, *[7] * 15]), labels))
+    as_long = lambda x: int.from_bytes(bytes([200 + x[0], *x[1:]]), "big", signed=True)
+    df = spark.createDataFrame([(bytearray(n), [as_long(x) for x in ls]) for n, ls in nodes], "fp binary, labels array<long>")
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(partitions))
+        ties = tries(df.repartition(partitions), f).collect()
+    finally:
+        spark.conf.set(key, before)
+
+    def groups(pairs):
+        parent = {n: n for n, _ in nodes}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[root(a)] = root(b)
+        out = {}
+        for n, _ in nodes:
+            out.setdefault(root(n), set()).add(n)
+        return sorted(map(sorted, out.values()))
+
+    for d in f.levels:
+        want = [(a, b) for a, x in nodes for b, y in nodes if any(p[:d] == q[:d] for p, q in zip(x, y, strict=True))]
+        assert groups((bytes(r.a), bytes(r.b)) for r in ties if r.d >= d) == groups(want)
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark, monkeypatch):
+    from weftgraph.llm import near_dups
+
+    seen = []
+    joined = near_dups._joined
+    monkeypatch.setattr(near_dups, "_joined", lambda family, ties: seen.append(1) or joined(family, ties))
+    rng = random.Random(18)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(104)]
+    copies, edge = [], []
+    for i in range(20):
+        base = text()
+        copies += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base, "more"]))]
+        edge += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:52], "x", *base[53:80], "y", *base[81:]]))]
+    for rows, rounds in ((copies, 1), (edge, 3)):
+        seen.clear()
+        assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join(docs_of(spark, rows)).collect()) == brute(rows)
+        assert len(seen) == rounds
 
 
 def test_recurring_lines(spark):
@@ -160,6 +219,80 @@ def test_recurring_lines_that_differ_in_every_part(spark):
     assert got == {0: [0, 1], 1: [0, 1], 2: [0, 1], 10: [0], 11: [0]}
 
 
+def brute_lines(rows, t):
+    """Dropped line numbers by a plain reading of the tree's rules."""
+    texts = {x for _, x in rows if x}
+    found = {}  # different lines with the texts that have them
+    star = lambda w: "*" if re.search("[0-9]", w) else w
+    for x in texts:
+        for line in x.split("\n"):
+            raw = tuple(re.findall(common.TOKEN_CLASS, line))
+            if raw:
+                found.setdefault(tuple(map(star, raw)), []).append((x, raw))
+    bad, exact = set(), {}
+    need = lambda n: 2 if n >= t.long else t.docs
+    plain = lambda line: sum(w != "*" for w in line)
+    leaves = {}
+    for line, held in found.items():
+        leaves.setdefault((len(line), line[: t.lead]), []).append(line)
+        if len({x for x, _ in held}) >= need(len(line)) and plain(line) >= t.constant * len(line):
+            bad.add(line)
+        for x, raw in held:
+            exact.setdefault(raw, set()).add(x)
+    for (n, _), lines in leaves.items():
+        at = {}
+        for line in lines:
+            for k, w in enumerate(line):
+                at.setdefault((k, w), set()).update(x for x, _ in found[line])
+        groups = {}
+        for line in lines:
+            template = tuple(w if w != "*" and len(at[k, w]) >= need(n) else None for k, w in enumerate(line))
+            if sum(w is not None for w in template) >= t.constant * n:
+                groups.setdefault(template, []).append(line)
+        for same in groups.values():
+            if len({x for line in same for x, _ in found[line]}) >= need(n):
+                bad.update(same)
+    out = {}
+    for i, x in rows:
+        out[i] = []
+        for k, line in enumerate((x or "").split("\n")):
+            raw = tuple(re.findall(common.TOKEN_CLASS, line))
+            whole = tuple(map(star, raw))
+            if raw and (whole in bad or plain(whole) < len(raw) and len(exact[raw]) >= need(len(raw))):
+                out[i].append(k)
+    return out
+
+
+@pytest.mark.parametrize(("lines", "tokens"), [(4096, 1_000_000), (4096, 50), (3, 50), (1, 1)])
+def test_recurring_lines_equal_brute_force(spark, lines, tokens):
+    """Leaves that go whole to a task and leaves that are counted over all tasks give the same."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(160):
+        text = []
+        for _ in range(rng.randrange(5)):
+            n = rng.choice([1, 2, 4, 6, 9, 55])
+            text.append(" ".join(rng.choice(["red", "fox", rng.choice("abcdefgh"), rng.choice(["7", "x9", "ran"])]) for _ in range(n)))
+        if i % 3 == 0:
+            text.append(f"Posted by {rng.choice('UVWXYZ')}{'q' * (i % 4)} in the weekly section about {rng.choice(['gardens', 'rivers', 'birds'])}")
+        rows.append((i, "\n".join(text)))
+    rows += [(200, rows[0][1]), (201, None), (202, "")]
+    t = Tree(sketch_bits=16, lines=lines, tokens=tokens)
+    want = brute_lines(rows, t)
+    assert {r.doc_id: list(r.dropped) for r in recurring_lines(docs_of(spark, rows), t).collect()} == want
+    assert sum(map(len, want.values())) > 50
+
+
+def test_ids_may_be_text(spark):
+    rows = [("a", "one two three four five six"), ("b", "one two  three four five six"), ("c", "one two three four five six"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {r.doc_id: r.keep_id for r in exact_groups(docs).collect()} == {"a": "b", "b": "b", "c": "b", None: None}
+    assert sorted(r.doc_id or "" for r in exact_dedup(docs).collect()) == ["", "b"]
+    assert {r.doc_id: r.class_id for r in jaccard_join(docs).collect()} == {"a": "a", "b": "a", "c": "a", None: None}
+    assert {r.doc_id: r.n_lines for r in recurring_lines(docs).collect()} == {"a": 1, "b": 1, "c": 1, None: 1}
+    assert drop_recurring_lines(docs).count() == 4
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]

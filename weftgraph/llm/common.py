@@ -225,21 +225,24 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node that each node of an edge is connected with.
 
-    Alternates large-star and small-star steps (each a groupBy for the minimum and a join); every
-    step's edges are checkpointed, so neither lineage nor driver state grows. Keys may be of any ordered type.
+    Alternates large-star and small-star steps (each a groupBy for the minimum and a join) until only stars are
+    left; every step's edges are checkpointed, so neither lineage nor driver state grows. So are the minima, as a join can
+    be split at a node with very many edges only if both its sides come straight from a shuffle. Keys may be of any
+    ordered type.
     """
-    e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct())
-    digest = None
-    while True:
+    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u <> v").distinct())
+    while not _stars(e):
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        down = cut(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         e = cut(down.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == digest:
-            break
-        digest = tuple(now)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether each node of the edges (u, v), u > v, is either a center or a leaf of one center."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("center")).union(e.select(F.col("v").alias("x"), F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("center").alias("center")).where("leaf + center > 1").isEmpty()

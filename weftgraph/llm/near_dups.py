@@ -16,25 +16,34 @@ from weftgraph.llm.common import CHUNK, WORD_BYTES, bounded_batches, components,
 
 @dataclass(frozen=True)
 class Forest:
-    """trees prefix trees of labels of up to depth minima. A pair of similarity `threshold` meets with
-    probability `recall` or more: labels are shortened until that holds."""
+    """trees prefix tries of labels of depth minima, eight bits each. Matched prefixes are shortened from depth until
+    `recall` of the links are found by the estimate of `jaccard_join`, at most down to `floor`.
+
+    Exact verification takes blocks of `tile` texts or `tile_bytes` of shingles, whichever is less.
+    """
 
     words: int = 5
     threshold: float = 0.8
     trees: int = 32
-    depth: int = 10
+    depth: int = 8
     recall: float = 0.9999
     tile: int = 256
+    tile_bytes: int = 16 << 20
     sketch_bits: int = 25
     seed: int = 11
 
+    def found(self, s, d: int):
+        """The chance that texts of similarity s share a prefix of d minima in some trie."""
+        return 1 - (1 - s**d) ** self.trees
+
     @property
-    def prefix(self) -> int:
-        """The longest prefix that reaches the recall."""
-        d = self.depth
-        while d > 1 and 1 - (1 - self.threshold**d) ** self.trees < self.recall:
-            d -= 1
-        return d
+    def floor(self) -> int:
+        """The longest prefix by which a pair just at the threshold is found with the target recall."""
+        return next((d for d in range(self.depth, 1, -1) if self.found(self.threshold, d) >= self.recall), 1)
+
+    @property
+    def levels(self) -> range:
+        return range(self.depth, self.floor - 1, -1)
 
 
 def shingles(h: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +86,7 @@ def fingerprints(g: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
 
 
 def labels(g: np.ndarray, ends: np.ndarray, f: Forest) -> np.ndarray:
-    """For each text and tree, a hash of the label's prefix: the least of `prefix` permutations of the shingles."""
+    """For each text and trie, its label: eight bits of each of `depth` minima of permuted shingles, the first one topmost."""
     begins = np.concatenate([[0], ends[:-1]])
     rng = np.random.default_rng(f.seed)
     seeds = rng.integers(1, 2**32, (f.trees, f.depth, 2), dtype=np.uint64).astype(np.uint32)
@@ -88,32 +97,104 @@ def labels(g: np.ndarray, ends: np.ndarray, f: Forest) -> np.ndarray:
         return out
     at = begins[full]
     for t in range(f.trees):
-        label = np.full(len(at), t + 1, np.uint64)
-        for j in range(f.prefix):
+        for j in range(f.depth):
             y = (x ^ seeds[t, j, 0]) * (seeds[t, j, 1] | np.uint32(1))
             y ^= y >> np.uint32(15)
-            label = mix(label * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(y, at))
-        out[full, t] = label
+            least = (np.minimum.reduceat(y, at) * np.uint32(0x9E3779B1)) >> np.uint32(24)
+            out[full, t] |= least.astype(np.uint64) << np.uint64(56 - 8 * j)
     return out
 
 
 def _signer(f: Forest):
-    kind = pa.struct([("fp", pa.binary()), ("labels", pa.list_(pa.int64()))])
+    kind = pa.struct([("fp", pa.binary()), ("size", pa.int32()), ("labels", pa.list_(pa.int64()))])
 
-    @arrow_udf("struct<fp:binary,labels:array<long>>")
+    @arrow_udf("struct<fp:binary,size:int,labels:array<long>>")
     def sign(texts: pa.Array) -> pa.Array:
-        fps, keys = [], []
+        fps, sizes, keys = [], [], []
         for _, _, h, ends in hashed_words(texts, WORD_BYTES, CHUNK):
             g, stop = shingles(h, ends, f.words)
             fps += fingerprints(g, stop)
+            sizes.append(np.diff(stop, prepend=0))
             keys.append(labels(g, stop, f).view(np.int64))
         keys = np.concatenate(keys) if keys else np.empty((0, f.trees), np.int64)
+        sizes = np.concatenate(sizes) if sizes else np.empty(0)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, f.trees, dtype=np.int32)), pa.array(keys.reshape(-1)))
-        return pa.StructArray.from_arrays([pa.array(fps, pa.binary()), flat], fields=list(kind))
+        return pa.StructArray.from_arrays([pa.array(fps, pa.binary()), pa.array(sizes.astype(np.int32)), flat], fields=list(kind))
 
     return sign
 
 
+_TIES = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("d", pa.int32()), ("pid", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("b2", pa.binary())])
+
+
+def _trie(f: Forest):
+    """Over rows (tree, label, fp) sorted by tree and label: the branches of the tries, from the leaves up.
+
+    The rows below a branch follow each other; a branch is named by the least fp below it. A tie (a, b, d) says that the
+    branch a joins others in b at depth d. A partition's first and last branches may go on in its neighbours: rows
+    with pid tell their keys and names at each depth.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        first: dict[int, tuple] = {}
+        last: dict[int, tuple] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, label = (np.asarray(batch.column(c)).astype(np.int64).view(np.uint64) for c in ("tree", "label"))
+            fp = batch.column("fp").cast(pa.binary(16))
+            below = np.frombuffer(fp.buffers()[1], ">u8")[2 * fp.offset : 2 * (fp.offset + len(fp))].reshape(-1, 2).astype(np.uint64)
+            begins = np.ones(len(below), bool)
+            ties = []
+            for d in f.levels:
+                key = mix((label >> np.uint64(64 - 8 * d)) + mix(tree + np.uint64(1)))
+                new = np.ones(len(key), bool)
+                new[1:] = key[1:] != key[:-1]
+                run = np.cumsum(new) - 1
+                order = np.lexsort((below[:, 1], below[:, 0], run))
+                name = below[order[np.flatnonzero(new)]]
+                if d in last and last[d][0] == key[0]:
+                    name[0] = last[d][1]
+                own = name[run]
+                tied = np.flatnonzero(begins & (below != own).any(axis=1))
+                ties.append((below[tied], own[tied], np.full(len(tied), d, np.int32)))
+                first.setdefault(d, (key[0], name[0]))
+                last[d] = (key[-1], name[-1])
+                below, begins = own, new
+            a, b, d = (np.concatenate(x) for x in zip(*ties, strict=True))
+            yield from pa.Table.from_arrays([_binary(a), _binary(b), pa.array(d), *(pa.nulls(len(d), _TIES.field(c).type) for c in ("pid", "k1", "k2", "b2"))], schema=_TIES).to_batches()
+        if first:
+            rows = [(_bytes(first[d][1]), d, int(first[d][0].view(np.int64)), int(last[d][0].view(np.int64)), _bytes(last[d][1])) for d in f.levels]
+            b, d, k1, k2, b2 = zip(*rows, strict=True)
+            yield pa.record_batch([pa.nulls(len(d), pa.binary()), pa.array(b, pa.binary()), pa.array(d, pa.int32()), pa.array([pid] * len(d), pa.int32()), pa.array(k1), pa.array(k2), pa.array(b2, pa.binary())], schema=_TIES)
+
+    return scan
+
+
+def _bytes(pair: np.ndarray) -> bytes:
+    return pair.astype(">u8").tobytes()
+
+
+def _binary(pairs: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(pairs), [None, pa.py_buffer(_bytes(pairs))]).cast(pa.binary())
+
+
+def tries(nodes: DataFrame, f: Forest) -> DataFrame:
+    """(a, b, d): which branches of the tries of nodes (fp, labels) join at which depth. One sort serves all depths, and
+    a branch with very many nodes below it lies in as many partitions as it fills."""
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
+    leaves = nodes.select("fp", F.posexplode("labels").alias("tree", "label"))
+    leaves = leaves.repartitionByRange(parts, "tree", "label", "fp").sortWithinPartitions("tree", "label")
+    found = cut(leaves.select("tree", "label", "fp").mapInArrow(_trie(f), "a binary, b binary, d int, pid int, k1 long, k2 long, b2 binary"))
+    before = Window.partitionBy("d").orderBy("pid")  # one row a partition
+    edges = found.where("pid is not null").select("d", "k1", "b", F.lag("k2").over(before).alias("k2"), F.lag("b2").over(before).alias("b2"))
+    edges = edges.where("k1 = k2 and b <> b2").select("b", "b2", "d")
+    return cut(found.where("pid is null").select("a", "b", "d").union(edges).groupBy("a", "b").agg(F.max("d").alias("d")))
+
+
 def _opener(f: Forest, bitmap):
     """Shingles of the texts whose fingerprint the bitmap has."""
     kind = pa.struct([("fp", pa.binary()), ("shingles", pa.binary())])
@@ -157,14 +238,15 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_LINKS = "fp binary, link binary, links long"
+_LINKS = "root binary, fp binary, link binary, links long, pairs double, missed array<double>"
 
 
 def _verify(f: Forest):
-    """Exact verification of one tile: links of each text to texts of the other block, and one tie of each linked text."""
+    """Exact verification of one tile: links of each text to texts of the other block, one tie of each linked text, and
+    on one row for each depth how many such pairs are likely to be missed for each that is found."""
 
     def tile(batch: pa.Table) -> pa.Table:
-        i, j = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
+        root, i, j = (batch.column(c)[0].as_py() for c in ("root", "i", "j"))
         fps = batch.column("fp").to_pylist()
         blocks = batch.column("block").to_pylist()
         rows = batch.column("rows").to_pylist()
@@ -172,12 +254,17 @@ def _verify(f: Forest):
         order = sorted(range(len(fps)), key=fps.__getitem__)
         left, right = [x for x in order if blocks[x] == i], [x for x in order if blocks[x] == j]
         out: dict[int, list] = {}
+        pairs, missed = 0.0, [0.0] * len(f.levels)
         if left and right:
             got = overlaps([sets[x] for x in left], [sets[x] for x in right])
             na, nb = (np.array([len(sets[x]) for x in side], np.float64) for side in (left, right))
             linked = got >= f.threshold * (na[:, None] + nb[None, :] - got) - 1e-6
             if i == j:
                 np.fill_diagonal(linked, False)
+            a, b = np.nonzero(linked)
+            s = got[a, b] / (na[a] + nb[b] - got[a, b])
+            once = 0.5 if i == j else 1.0
+            pairs, missed = once * len(s), [once * float((1 / f.found(s, d) - 1).sum()) for d in f.levels]
             w = np.array([rows[x] for x in right], np.int64)
             v = np.array([rows[x] for x in left], np.int64)
             for side, other, m, weight in ((left, right, linked, w), (right, left, linked.T, v))[: 1 if i == j else 2]:
@@ -187,8 +274,9 @@ def _verify(f: Forest):
             # a text may be tied to another than its block's first: ties follow a spanning forest of the tile
             for a, tie in _forest(linked, left, right):
                 out.setdefault((a, tie), [fps[tie], 0])
-        picked = [(fps[k if isinstance(k, int) else k[0]], *v) for k, v in out.items()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*picked, strict=True) if picked else ([], [], []), (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["fp", "link", "links"])
+        picked = [(root, fps[k if isinstance(k, int) else k[0]], *v, 0.0, None) for k, v in out.items()] + [(root, None, None, 0, pairs, missed)]
+        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*picked, strict=True), kinds, strict=True)], names=["root", "fp", "link", "links", "pairs", "missed"])
 
     return tile
 
@@ -213,6 +301,26 @@ def _forest(linked: np.ndarray, left: list[int], right: list[int]) -> Iterator[t
                     yield y, x
 
 
+def _joined(family: DataFrame, ties: DataFrame) -> DataFrame:
+    """(node, root) after ties (a, b) join families: the roots alone are searched for components."""
+    root = family.select(F.col("node").alias("x"), F.col("root").alias("r"))
+    ends = ties.select("a", "b").join(root.withColumnRenamed("r", "ra"), F.col("a") == F.col("x")).drop("x", "a")
+    ends = ends.join(root.withColumnRenamed("r", "rb"), F.col("b") == F.col("x")).select("ra", "rb")
+    moved = components(ends, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return cut(family.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+
+
+def _verified(family: DataFrame, sizes: DataFrame, nodes: DataFrame, sets: DataFrame, f: Forest) -> DataFrame:
+    """Links within the families of sizes. A family of m blocks is verified in m * (m + 1) / 2 tiles."""
+    blocks = F.greatest(F.ceil(F.col("members") / F.lit(f.tile)), F.ceil(F.col("size") * 8 / F.lit(f.tile_bytes))).cast("int")
+    placed = family.join(sizes.select("root", blocks.alias("blocks")), "root").join(nodes.select(F.col("fp").alias("node"), "rows"), "node")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    full = placed.join(sets, placed.node == sets.fp).drop("node")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tiles = full.select("*", other.alias("o")).select("root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "fp", "rows", "shingles")
+    return tiles.groupBy("root", "i", "j").applyInArrow(_verify(f), _LINKS)
+
+
 def jaccard_join(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     """(doc_id, rowkey, class_id, class_size, n_links, kept): one row per row of docs.
 
@@ -223,38 +331,43 @@ def jaccard_join(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     wordless texts have no shingles and no links; each is a class of its own with its doc_id. A null doc_id
     counts as the largest. Other columns are ignored. An empty table gives an empty result.
 
-    Method: documents with the same set are one node. Each node has a label per tree, whose prefix is shortened until
-    the target recall is met; nodes that share a prefix in a tree are candidates. Connected candidates form families,
-    which are verified exactly in tiles of two blocks of nodes: a tile gives counts and a spanning forest, never its
-    pairs. Only sets of candidates are shuffled: a bitmap of fixed size tells the others apart.
+    Method: documents with the same set are one node. Each node has a label in each trie; the labels are sorted, so that
+    those which share a prefix follow each other. Matching begins with whole labels: connected matches form families, which
+    are verified exactly in tiles of two blocks of nodes; a tile gives counts and a spanning forest, never its pairs.
+    A link of similarity s is found at depth d with a chance that is known, so each link found stands for
+    some that were missed; as long as these are more than the target recall allows, prefixes are shortened by one
+    and the families that grow are verified anew. At f.floor any pair at the threshold itself meets with
+    that recall. Only sets of candidates are shuffled: a bitmap of fixed size tells the others apart.
     """
     spark = docs.sparkSession
     bounded_batches(docs)
     sign = _signer(f)
     rows = docs.select("doc_id", row_hash("doc_id").alias("rowkey"), sign(F.col("text")).alias("s"))
-    rows = cut(rows.select("doc_id", "rowkey", "s.fp", "s.labels"))
-    nodes = rows.where("fp is not null").groupBy("fp").agg(F.count("*").alias("rows"), F.first("labels").alias("labels"))
-
-    # Candidates: nodes that share a tree's prefix.
-    met = nodes.select("fp", F.explode("labels").alias("label"))
-    near = met.withColumn("n", F.count("*").over(Window.partitionBy("label"))).where("n > 1").drop("n")
-    near = cut(near)
-    heads = near.groupBy("label").agg(F.min("fp").alias("head"))
-    ties = near.join(heads, "label").where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
-    family = components(ties)
-
-    # Blocks of a family; a family of m blocks is verified in m * (m + 1) / 2 tiles.
-    placed = family.join(nodes.select(F.col("fp").alias("node"), "rows"), "node")
-    sizes = placed.groupBy("root").agg(F.count("*").alias("members"))
-    placed = placed.join(sizes, "root").withColumn("blocks", F.ceil(F.col("members") / F.lit(f.tile)).cast("int"))
-    placed = cut(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("node", "root", "rows", "block", "blocks"))
-    bitmap = spark.sparkContext.broadcast(sketch(placed, first_bytes(F.col("node")), f.sketch_bits))
+    rows = cut(rows.select("doc_id", "rowkey", "s.fp", "s.size", "s.labels"))
+    nodes = rows.where("fp is not null").groupBy("fp").agg(F.count("*").alias("rows"), F.first("size").alias("size"), F.first("labels").alias("labels"))
+    nodes = cut(nodes)
+    rows = rows.select("doc_id", "rowkey", "fp")
+    ties = tries(nodes.select("fp", "labels"), f)
+    nodes = nodes.drop("labels")
+    near = cut(ties.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    bitmap = spark.sparkContext.broadcast(sketch(near, first_bytes(F.col("fp")), f.sketch_bits))
     sets = docs.select(_opener(f, bitmap)(F.col("text")).alias("s")).select("s.*").where("shingles is not null")
-    sets = sets.groupBy("fp").agg(F.first("shingles").alias("shingles"))
-    full = placed.join(sets, placed.node == sets.fp).drop("node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = full.select("*", other.alias("o")).select("root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "fp", "rows", "shingles")
-    links = cut(tiles.groupBy("root", "i", "j").applyInArrow(_verify(f), _LINKS))
+    sets = cut(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")).join(near, "fp", "left_semi"))
+
+    family = near.select(F.col("fp").alias("node"), F.col("fp").alias("root"))
+    known = links = None
+    for d in f.levels:
+        family = _joined(family, ties.where(F.col("d") == d))
+        sizes = family.join(nodes.select(F.col("fp").alias("node"), "size"), "node").groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("size")).where("members > 1")
+        sizes = cut(sizes)
+        grown = sizes if known is None else sizes.join(known, ["root", "members"], "left_anti")
+        more = _verified(family, grown, nodes, sets, f)
+        kept = None if links is None else links.join(sizes.join(known, ["root", "members"], "left_semi"), "root", "left_semi")
+        links, known = cut(more if kept is None else kept.unionByName(more)), sizes.select("root", "members")
+        pairs, missed = links.agg(F.sum("pairs"), F.sum(F.element_at("missed", f.depth - d + 1))).first()
+        if pairs and pairs >= f.recall * (pairs + missed):
+            break
+    links = links.where("fp is not null")
 
     roots = components(links.select(F.col("fp").alias("a"), F.col("link").alias("b")))
     counts = links.groupBy("fp").agg(F.sum("links").alias("links"))
