@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import common
 from weftgraph.llm.decontaminate import decontaminate
-from weftgraph.llm.html_text import extract_text, main_text
+from weftgraph.llm import html_text
+from weftgraph.llm.html_text import extract_text, is_noise, main_text, surges
 from weftgraph.llm.language_model import Model, Tables, language_model, start
 from weftgraph.llm.licences import evaluate, licence_scan, parse
 from weftgraph.llm.mixing import mix_sources
@@ -194,12 +195,61 @@ def test_token_probabilities_sum_to_one():
         ("<article><p>x <script>never closed", "x"),
         ("a < b > c", "a < b > c"),
         ("<article>\n  much \t white\n\n space </article>", "much white space"),
+        ("<article><h1>H</h1><p title='A hidden gem'>one</p><p hidden>x</p><p aria-hidden=true>y</p><p style='color:red; display: none'>z</p></article>", "H one"),
+        ("<article><p id='related-work'>a</p><p class='share-price'>b</p><p class='share-buttons'>c</p><div class='adBanner'>d</div></article>", "a b"),
+        ("<main><h1>Head</h1><p>intro</p><article>" + "<p>Some text of the article.</p>" * 9 + "</article></main><div>" + "Notes of the site. " * 5 + "</div>", "Head intro " + " ".join(["Some text of the article."] * 9)),
+        ("<h2>Head</h2><div class=share>s</div><div class=ad>a</div><p>" + "Words of a paragraph. " * 8 + "</p><p>The end.</p><div></div><div></div><p>Tail</p>", "Head " + " ".join(["Words of a paragraph."] * 8) + " The end."),
+        ("<div>" * 3000 + "<p>deep</p>", "deep"),
+        ("<p class=\"never closed>text <b>more</b>", "text more"),
     ],
 )
 def test_main_text(page, text):
     assert main_text(page) == text
 
 
+def test_noise_needs_every_word_to_say_so():
+    assert all(map(is_noise, ["ad", "AdBanner", "cookie-notice", "share_buttons", "comments-list-2", "sidebarRight"]))
+    assert not any(map(is_noise, ["related-work", "share-price", "advice", "header-text", "socialism", "", "x1"]))
+
+
+def test_surges_equal_brute_force():
+    rng = random.Random(14)
+    for _ in range(300):
+        sizes = [rng.choice([0, 0, 0, 3, 10, 60]) for _ in range(rng.randrange(25))]
+        width, least, n = rng.choice([1, 2, 3]), rng.choice([1, 20, 70]), len(sizes)
+        want, i = [False] * n, 0
+        while i < n:
+            if not sizes[i] or sum(sizes[i : i + width]) < least:
+                i += 1
+                continue
+            dive = next((j for j in range(i, n) if not sum(sizes[j : j + width])), n)
+            last = max([i, *(j for j in range(i, dive) if sizes[j] and sum(sizes[max(0, j + 1 - width) : j + 1]) >= least)])
+            for j in range(i, last + 1):
+                want[j] = True
+            i = max(dive, last + 1)
+        for step in (1, -1):
+            for j in range(n)[::step]:
+                if want[j] and 0 <= j + step < n and sizes[j + step]:
+                    want[j + step] = True
+        assert surges(np.array(sizes, np.int64), width, least).tolist() == want
+
+
+def test_the_distribution_finds_the_article_without_marks(monkeypatch):
+    rng = random.Random(15)
+    text = lambda n: " ".join(rng.choice(["river", "stone", "of", "the", "lamp"]) for _ in range(n))
+    marked, plain = [], []
+    for _ in range(60):
+        paragraphs = "".join(f"<p>{text(rng.choice([2, 9, 30, 80]))}" for _ in range(rng.randrange(4, 9)))
+        page = f"<nav><a href=x>{text(2)}</a></nav><div class='ad'>{text(9)}</div><article><h1>{text(5)}</h1>{paragraphs}</article><div class='notice'>{text(6)}</div><footer>{text(30)}</footer>"
+        marked.append(page)
+        plain.append(re.sub(" class='[a-z]*'", "", page).replace("article", "div"))
+    want = [main_text(p) for p in marked]
+    got = [main_text(p) for p in plain]
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 55
+    monkeypatch.setattr(html_text, "surges", lambda sizes, *_: np.ones(len(sizes), bool))
+    assert not any(main_text(p) == w for p, w in zip(plain, want, strict=True))
+
+
 def test_extract_text_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article>é一</article>"), (1, "u", "<article>é一</article>"), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(0))
     got = sorted((r.page_id, r.text, r.n_chars) for r in extract_text(pages).collect())

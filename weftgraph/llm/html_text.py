@@ -21,25 +21,50 @@ ASIDE = frozenset("nav footer aside form button dialog menu head fieldset".split
 #: Elements that do not begin a new line.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role of elements outside the main text.
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|pagination|pager|toolbar|login|search|contentinfo|complementary|alert)(?=$|[\s_-])", re.I)
+#: Containers: a border of one is an empty line of the distribution.
+BLOCKS = frozenset("div section article main table tbody thead tr td th ul ol dl center header body html".split())
+#: Words that name, in class, id or role, an element outside the main text...
+NOISE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup share sharing social related recommended recommendations comment comments disqus replies respond pagination pager toolbar login search contentinfo complementary alert".split())
+#: ... if nothing but these stands beside them: "share-buttons" is noise, "share-price" is not.
+BESIDE = frozenset("a and area bar block body bottom box btn button buttons by column container content footer form global header icons inner item items left link links list main media more nav outer page panel post posts article articles primary reader right secondary section side site slot small sticky text the thread title to top unit user users widget wrap wrapper".split())
 #: These name a page's header, unless they stand in the article.
-HEADER = re.compile(r"^(?:(?:site|page|main|global|top)[_-])?(?:header|head)$", re.I)
+HEADER = frozenset(["header", "head", "site header", "page header", "main header", "global header", "top header"])
 _TAG = re.compile(r"""<(?:!--(?P<comment>)|(?P<end>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<other>[!?/])[^>]*>?)""")
 _BROKEN = re.compile(r"<(?P<end>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>[^>]*)>?")
-_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_]+")
+
+
+def is_noise(name: str) -> bool:
+    """Whether one name of an element, such as a class, says that it is outside the main text."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return any(w in NOISE for w in words) and all(w in NOISE or w in BESIDE for w in words)
+
+
+def _outside(rest: str, article: bool) -> bool:
+    """Whether an element's attributes say that it is hidden or outside the main text."""
+    for key, value in _ATTRIBUTE.findall(rest):
+        key, value = key.lower(), value.strip("\"'")
+        if key in ("class", "id", "role"):
+            for name in value.split():
+                if is_noise(name) or not article and " ".join(_WORDS.findall(name)).lower() in HEADER:
+                    return True
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
+            return True
+    return False
 
 
 class _Lines:
-    """Lines of a page: text, characters inside links, what marks it as main text (2 an article, 1 a main element), and
-    whether it is noise."""
+    """Lines of a page outside of noise, with their characters inside links and the innermost article or main element that
+    they are in (0: none); a line of no characters is the border of a container."""
 
     def __init__(self, page: str):
-        self.rows: list[tuple[str, int, int, bool]] = []
+        self.rows: list[tuple[str, int, int]] = []
+        self.marks: list[tuple[str, int]] = [("", 0)]  # name of an article or main element, and the one around it
         self.parts: list[str] = []
         self.link = 0
-        stack: list[tuple[str, int, bool]] = []  # open element, article, noise
+        stack: list[tuple[str, int, bool]] = []  # open element, mark, noise
         state = (0, False)
         at, n, links = 0, len(page), 0
         while at < n:
@@ -47,12 +72,13 @@ class _Lines:
             if lt < 0:
                 lt = n
             if lt > at:
-                self._text(page[at:lt], links)
+                self.parts.append(page[at:lt])
+                self.link += (lt - at) * links
             if lt == n:
                 break
             m = _TAG.match(page, lt) or _BROKEN.match(page, lt)
             if not m:
-                self._text("<", links)
+                self.parts.append("<")
                 at = lt + 1
                 continue
             at = m.end()
@@ -73,9 +99,12 @@ class _Lines:
                     if stack[k][0] == name:
                         if name in INLINE and stack[k][1:] != state:
                             self._line(*state)
+                        noise = stack[k][2]
                         del stack[k:]
+                        state = stack[-1][1:] if stack else (0, False)
+                        if name in BLOCKS:
+                            self._border(state[0], noise)
                         break
-                state = stack[-1][1:] if stack else (0, False)
                 continue
             if name in RAW:
                 close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -83,71 +112,108 @@ class _Lines:
                 continue
             if name in VOID:
                 continue
-            article, noise = state
-            attrs = got["rest"] or ""
-            if name in ASIDE or name == "header" and not article:
+            mark, noise = state
+            inside = any(self.marks[k][0] == "article" for k in self.around(mark))
+            if name in ASIDE or name == "header" and not inside:
+                noise = True
+            elif got["rest"] and name not in ("html", "body", "main") and _outside(got["rest"], inside):
                 noise = True
-            elif attrs and name not in ("html", "body", "main"):
-                names = [x.strip("\"'") for x in _NAMES.findall(attrs)]
-                if any(NOISE.search(x) for x in names) or _HIDDEN.search(attrs) or not article and any(HEADER.match(x) for x in " ".join(names).split()):
-                    noise = True
-            article = max(article, {"article": 2, "main": 1}.get(name, 0))
             if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
-            if (article, noise) != state:
+            if name in BLOCKS:
+                self._border(mark, noise)
+            if name in ("article", "main") and not noise:
+                self.marks.append((name, mark))
+                mark = len(self.marks) - 1
+            if (mark, noise) != state:
                 self._line(*state)
-                state = (article, noise)
-            stack.append((name, article, noise))
+                state = (mark, noise)
+            stack.append((name, mark, noise))
         self._line(*state)
 
-    def _text(self, s: str, linked: int) -> None:
-        self.parts.append(s)
-        self.link += len(s) * linked
+    def around(self, mark: int) -> list[int]:
+        """A mark and those around it, from the innermost on."""
+        out = []
+        while mark:
+            out.append(mark)
+            mark = self.marks[mark][1]
+        return out
+
+    def _border(self, mark: int, noise: bool) -> None:
+        if not noise:
+            self.rows.append(("", 0, mark))
 
-    def _line(self, article: int, noise: bool) -> None:
+    def _line(self, mark: int, noise: bool) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
-            if text:
-                self.rows.append((text, self.link, article, noise))
+            if text and not noise:
+                self.rows.append((text, self.link, mark))
             self.parts, self.link = [], 0
 
 
-def surges(sizes: np.ndarray, width: int, least: int) -> np.ndarray:
-    """Which lines lie between a surge and the dive after it.
+def surges(sizes: np.ndarray, width: int, least: float) -> np.ndarray:
+    """Which lines lie between a surge and a dive of the line-block distribution.
 
-    The distribution is the sum of sizes over `width` lines from each line on. It surges where it reaches `least`
-    with text on the line itself, and dives where it falls to nothing.
+    A block is the sum of sizes over `width` lines. The distribution surges at a line with text whose block, from it
+    on, reaches `least`, and dives before a block of nothing; lines that end in a block, up to them, of less than `least` are
+    cut off again. Lines next to those kept, with nothing empty between, belong to them: headings and short last lines.
     """
     n = len(sizes)
     inside = np.zeros(n, bool)
-    total = np.convolve(sizes, np.ones(width, np.int64))[width - 1 :] if n else sizes
+    if not n:
+        return inside
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    ahead = total[np.minimum(np.arange(n) + width, n)] - total[:-1]
+    back = total[1:] - total[np.maximum(np.arange(n) + 1 - width, 0)]
     i = 0
     while i < n:
-        if sizes[i] and total[i] >= least:
-            j = i
-            while j < n and total[j] > 0:
-                j += 1
-            inside[i:j] = True
-            i = j
-        else:
+        if not sizes[i] or ahead[i] < least:
             i += 1
+            continue
+        j = i
+        while j < n and ahead[j] > 0:
+            j += 1
+        end = j
+        while end > i + 1 and (not sizes[end - 1] or back[end - 1] < least):
+            end -= 1
+        while i > 0 and sizes[i - 1]:
+            i -= 1
+        while end < n and sizes[end]:
+            end += 1
+        inside[i:end] = True
+        i = max(j, end)
     return inside
 
 
-def main_text(page: str | None, width: int = 3, least: int = 80, most_links: float = 0.5) -> str:
+def main_text(page: str | None, width: int = 3, least: int = 80, share: float = 0.1, most_links: float = 0.5, weight: int = 3) -> str:
     """Text between surge and dive points of a page's lines.
 
-    Lines outside the article (if the page marks one), in menus, forms, notices and the like, or made of links,
-    weigh nothing. A page that marks its article surges with its first line; one that does not must reach `least`
-    characters, and if it never does, all that weighs something is kept.
+    Lines of noise are left out first; lines made of links and borders of containers weigh nothing, lines in an article or
+    main element `weight` times their characters. A surge takes blocks of `least` characters and `share` of the page's
+    greatest block. If the heaviest stretch between surge and dive is in an article or main element, stretches
+    outside of all of these go, and the articles (else the main elements) with a line between surge and dive are kept
+    whole. Where nothing surges, all that weighs something is kept.
     """
-    lines = _Lines(page or "").rows
-    marked = max((a for _, _, a, noise in lines if not noise), default=0)
-    sizes = np.array([0 if noise or a < marked or not marked and link > most_links * len(t) else len(t) for t, link, a, noise in lines], np.int64)
-    inside = surges(sizes, width, 1 if marked else least)
+    found = _Lines(page or "")
+    lines = found.rows
+    n = len(lines)
+    sizes = np.array([0 if link > most_links * len(t) else len(t) * (weight if mark else 1) for t, link, mark in lines], np.int64)
+    marks = np.array([mark for *_, mark in lines], np.int64)
+    blocks = np.convolve(sizes, np.ones(width, np.int64)) if n else sizes
+    inside = surges(sizes, width, max(least, share * blocks.max(initial=0)))
     if not inside.any():
         inside[:] = True
-    return " ".join(t for (t, *_), size, ok in zip(lines, sizes, inside, strict=True) if ok and size)
+    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    heaviest = max(zip(edge[::2], edge[1::2], strict=True), key=lambda e: sizes[e[0] : e[1]].sum(), default=(0, 0))
+    keep = inside & (sizes > 0)
+    at = sizes[heaviest[0] : heaviest[1]] > 0
+    if (marks[heaviest[0] : heaviest[1]][at] > 0).any():
+        keep &= marks > 0
+        chain = {m: found.around(m) for m in set(marks.tolist())}
+        kind = "article" if any(found.marks[k][0] == "article" for m in set(marks[keep].tolist()) for k in chain[m]) else "main"
+        whole = {k for m in set(marks[keep].tolist()) for k in chain[m] if found.marks[k][0] == kind}
+        keep |= (sizes > 0) & np.array([any(k in whole for k in chain[m]) for m in marks.tolist()])
+    return " ".join(t for (t, *_), ok in zip(lines, keep, strict=True) if ok)
 
 
 @arrow_udf(StringType())
@@ -161,8 +227,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Markup, scripts, menus, headers, footers, sidebars, notices, adverts, forms and reader comments go;
     character references are decoded, white space within a line becomes one blank and lines are joined in page
     order by one blank. Null or empty pages, and pages without main text, give the empty text. Unclosed
-    comments and scripts reach to the page's end; cut-off tags are dropped. Repeated rows and other columns
-    stay; columns with the added names are replaced.
+    comments and scripts reach to the page's end; cut-off tags are dropped. Of stretches of equal weight the first is the
+    heaviest. Repeated rows and other columns stay; columns with the added names are replaced.
     """
     bounded_batches(pages)
     pages = without(pages, "text", "n_chars")
