@@ -16,7 +16,7 @@ from weftgraph.llm.html_text import extract_text, is_noise, main_text, surges
 from weftgraph.llm.language_model import Model, Tables, language_model, start
 from weftgraph.llm.licences import evaluate, licence_scan, parse
 from weftgraph.llm.mixing import mix_sources
-from weftgraph.llm.secrets import ASSIGN, secret_spans
+from weftgraph.llm.secrets import ASSIGN, battery, secret_spans
 from weftgraph.llm.toxicity import Settings, toxicity
 
 
@@ -281,6 +281,57 @@ def test_secret_spans(spark):
     assert secret_spans(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_random_strings_are_told_from_ordinary_ones(spark):
+    """Keys outside the base patterns are found, at most a few ordinary strings with them; base spans are tested too."""
+    rng = random.Random(30)
+    b64, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz"
+    key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    syllables = ["ing", "ter", "ation", "ver", "lich", "the", "con", "al", "re", "en", "st", "un"]
+    long_word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(4, 9)))
+    plain = [f"{long_word()} {long_word()} {long_word().title()}{rng.randrange(99)} {long_word()}-{long_word()}-{rng.randrange(9)}" for _ in range(400)]
+    keys = [key(rng.choice([40, 64, 88]), b64[:62]) for _ in range(30)] + [key(64, b64) + "==" for _ in range(15)] + ["ey" + key(30, b64[:62]) + "." + key(60, b64[:62]) + "." + key(43, b64[:62]) for _ in range(5)]
+    texts = plain + [f"{long_word()} {k} {long_word()}" for k in keys] + ["sha " + key(64, "0123456789abcdef"), "password: correcthorsebatterystaple", "secret=" + "." * 9, key(14, low)]
+    got = {r.doc_id: r for r in secret_spans(frame(spark, list(enumerate(texts)))).collect()}
+    false = [i for i in range(400) if "random" in got[i].spans]
+    found = [i for i in range(400, 450) if "random" in got[i].spans]
+    assert len(found) >= 45 and len(false) <= 3
+    kind, start, end, encoding, p, even = got[450].tests.split(":")
+    assert (kind, start, end, encoding) == ("hex", "4", "68", "hex") and float(p) > 0.001 and float(even) < 0.2
+    assert got[451].tests.split(":")[3] == "lower" and got[452].tests.endswith(":-:-:-")
+    assert all(r.spans == ",".join(":".join(x.split(":")[:3]) for x in r.tests.split(",")) for r in got.values())
+
+
+def test_battery_p_values(spark):
+    """p is uniform on random strings and follows numpy's statistics; ordinary strings have small ones."""
+    rng = np.random.default_rng(31)
+    low = "abcdefghijklmnopqrstuvwxyz0123456789"
+    tokens = ["".join(low[i] for i in rng.integers(0, 36, n)) for n in rng.choice([40, 64, 65, 200], 600)]
+    tokens += ["thequickbrownfoxjumpsoverthelazydog2thequickbrownfoxjumps", "a1" * 30, "z9" * 2000]
+    got = [r.p for r in battery(spark.createDataFrame(list(enumerate(tokens)), "i int, token string")).orderBy("i").collect()]
+
+    def normal_tail(z):
+        return 0.5 * math.erfc(z / math.sqrt(2))
+
+    for t, p in zip(tokens, got, strict=True):
+        x = np.array([low[26:].index(c) if c.isdigit() else low.index(c) + 10 for c in t], float)
+        n, k = len(x), 36
+        chi = k / n * (np.bincount(x.astype(int)) ** 2).sum() - n
+        z = [((chi / 35) ** (1 / 3) - (1 - 2 / 315)) / math.sqrt(2 / 315)]
+        high = x >= k / 2
+        h = high.sum()
+        expected = 2 * h * (n - h) / n + 1
+        spread = (expected - 1) * (expected - 2) / (n - 1)
+        z.append((1 + (high[1:] != high[:-1]).sum() - expected) / math.sqrt(spread) if spread > 0 else 8)
+        d = x - x.mean()
+        z.append((d[1:] @ d[:-1] / (d @ d) + 1 / n) * math.sqrt(n))
+        ps = [normal_tail(z[0]), 2 * normal_tail(abs(z[1])), 2 * normal_tail(abs(z[2]))]
+        s = -sum(math.log(max(v, 1e-12)) for v in ps)
+        assert p == pytest.approx(min(1, math.exp(-s) * (1 + s + s * s / 2)), rel=1e-3, abs=1e-9)
+    random_ones = np.sort(got[:600])
+    assert np.abs(random_ones - np.arange(600) / 600).max() < 0.1  # runs are whole numbers, so p is uniform only about
+    assert max(got[600:]) < 1e-3
+
+
 def test_licence_scan(spark):
     texts = [None, "", "CC-BY CC BY cc by", "GNU General Public License, all rights reserved. submit license", "// SPDX-License-Identifier: MIT OR (GPL-2.0 WITH Classpath-exception-2.0)\nnext", "general public", "occ by", "General\nPublic  License"]
     got = {r.doc_id: r for r in licence_scan(frame(spark, list(enumerate(texts)), "labels")).collect()}
