@@ -34,6 +34,10 @@ TOKEN_BYTES = _table(lambda c: c not in _SPACES)
 CHUNK = 1 << 19
 
 
+#: Narrow rows, as those of edges, in a part that is written.
+ROWS_A_PART = 100_000
+
+
 def with_checkpoints(spark: SparkSession) -> None:
     """Use the cluster's shared folder; only where none is configured (tests) a temporary one is set."""
     sc = spark.sparkContext
@@ -41,10 +45,11 @@ def with_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-checkpoints-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from the files."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write df to the checkpoint folder and go on from the files. If its number of rows is known, in as few parts as
+    that asks for."""
     with_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(16 + rows // ROWS_A_PART)).checkpoint()
 
 
 def materialised(df: DataFrame) -> DataFrame:
@@ -94,6 +99,11 @@ def row_hash(doc_id: str, text: str = "text") -> Column:
 BROADCAST_ROWS = 1_000_000
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, which has been written, marked for broadcast if it is counted and has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of docs that decisions (doc_id, rowkey, kept; one per row) keep, with the columns of docs.
 
@@ -231,18 +241,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ordered type.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u <> v").distinct())
-    while not _stars(e):
+    while n := _tangled(e):
         both = e.union(e.select("v", "u"))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = cut(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        down = cut(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), n)
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(down.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
+        e = cut(down.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct(), n)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _stars(e: DataFrame) -> bool:
-    """Whether each node of the edges (u, v), u > v, is either a center or a leaf of one center."""
+def _tangled(e: DataFrame) -> int:
+    """The number of ends of the edges (u, v), u > v; 0 if each node is either a center or a leaf of one center."""
     ends = e.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("center")).union(e.select(F.col("v").alias("x"), F.lit(0), F.lit(1)))
-    return ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("center").alias("center")).where("leaf + center > 1").isEmpty()
+    ends = ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.sum("center").alias("center"))
+    n, worst = ends.agg(F.coalesce(F.sum(F.col("leaf") + F.col("center")), F.lit(0)), F.max(F.col("leaf") + F.least("center", F.lit(1)))).first()
+    return n if n and worst > 1 else 0

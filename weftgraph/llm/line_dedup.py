@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftgraph.llm.common import BROADCAST_ROWS, bounded_batches, cut, hash_words, mix, pieces, row_hash, sketch, without
+from weftgraph.llm.common import BROADCAST_ROWS, bounded_batches, cut, hash_words, mix, pieces, row_hash, sketch, small, without
 
 _PLAIN = bytes(range(256))
 _BLANK = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
@@ -180,7 +180,6 @@ def _recurring(lines: DataFrame, *keys: str) -> DataFrame:
 def _spread(lines: DataFrame, t: Tree) -> DataFrame:
     """The lines of leaves of any size whose templates recur: what _templates does, token by token in Spark. Both sides of
     its joins are written first, so that joins on a token or a template of very many lines can be split."""
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     each = lines.select("leaf", "whole", "n", "texts", "need", "first", "last", F.posexplode("tokens").alias("i", "token"))
     each = each.where("token <> 0").withColumn("place", F.xxhash64("leaf", "i", "token")).drop("i", "token")
     often = cut(_recurring(each, "place"))
@@ -237,11 +236,8 @@ def recurring_lines(docs: DataFrame, t: Tree = Tree()) -> DataFrame:
     # lines with digits, as they are
     numbers = found.where("plain < n")
     same = cut(numbers.select("exact", "n", "content").distinct().groupBy("exact", "n").agg(F.count("*").alias("texts")).where(F.col("texts") >= need).select("exact"))
-    n = (bad := cut(bad)).count()
-    side = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
-    dropped = found.select("doc_id", "rowkey", "line", "leaf", "whole").join(side(bad), ["leaf", "whole"], "left_semi").drop("leaf", "whole")
-    side = F.broadcast if same.count() <= BROADCAST_ROWS else (lambda df: df)
-    dropped = dropped.union(numbers.select("doc_id", "rowkey", "line", "exact").join(side(same), "exact", "left_semi").drop("exact"))
+    dropped = found.select("doc_id", "rowkey", "line", "leaf", "whole").join(small(cut(bad)), ["leaf", "whole"], "left_semi").drop("leaf", "whole")
+    dropped = dropped.union(numbers.select("doc_id", "rowkey", "line", "exact").join(small(same), "exact", "left_semi").drop("exact"))
     dropped = dropped.groupBy("doc_id", "rowkey").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
     d = dropped.select(F.col("doc_id").alias("d_id"), F.col("rowkey").alias("d_row"), "dropped")
     out = rows.drop("lines", "content").join(d, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("rowkey") == F.col("d_row")), "left")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftgraph.llm.common import CHUNK, WORD_BYTES, bounded_batches, components, cut, grams, hashed_words, keep_rows, mix, row_hash, sketch
+from weftgraph.llm.common import CHUNK, WORD_BYTES, bounded_batches, components, cut, grams, hashed_words, keep_rows, mix, row_hash, sketch, small
 
 
 @dataclass(frozen=True)
@@ -301,21 +301,21 @@ def _forest(linked: np.ndarray, left: list[int], right: list[int]) -> Iterator[t
                     yield y, x
 
 
-def _joined(family: DataFrame, ties: DataFrame) -> DataFrame:
+def _joined(family: DataFrame, ties: DataFrame, n: int) -> DataFrame:
     """(node, root) after ties (a, b) join families: the roots alone are searched for components."""
     root = family.select(F.col("node").alias("x"), F.col("root").alias("r"))
     ends = ties.select("a", "b").join(root.withColumnRenamed("r", "ra"), F.col("a") == F.col("x")).drop("x", "a")
     ends = ends.join(root.withColumnRenamed("r", "rb"), F.col("b") == F.col("x")).select("ra", "rb")
-    moved = components(ends, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return cut(family.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+    moved = cut(components(ends, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("to")), n)
+    return cut(family.join(small(moved), "root", "left").select("node", F.coalesce("to", "root").alias("root")), n)
 
 
-def _verified(family: DataFrame, sizes: DataFrame, nodes: DataFrame, sets: DataFrame, f: Forest) -> DataFrame:
+def _verified(family: DataFrame, sizes: DataFrame, sets: DataFrame, f: Forest) -> DataFrame:
     """Links within the families of sizes. A family of m blocks is verified in m * (m + 1) / 2 tiles."""
     blocks = F.greatest(F.ceil(F.col("members") / F.lit(f.tile)), F.ceil(F.col("size") * 8 / F.lit(f.tile_bytes))).cast("int")
-    placed = family.join(sizes.select("root", blocks.alias("blocks")), "root").join(nodes.select(F.col("fp").alias("node"), "rows"), "node")
+    placed = family.join(small(sizes.select("root", blocks.alias("blocks"))), "root")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    full = placed.join(sets, placed.node == sets.fp).drop("node")
+    full = placed.join(sets.drop("size"), placed.node == sets.fp).drop("node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = full.select("*", other.alias("o")).select("root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "fp", "rows", "shingles")
     return tiles.groupBy("root", "i", "j").applyInArrow(_verify(f), _LINKS)
@@ -335,49 +335,52 @@ def jaccard_join(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     those which share a prefix follow each other. Matching begins with whole labels: connected matches form families, which
     are verified exactly in tiles of two blocks of nodes; a tile gives counts and a spanning forest, never its pairs.
     A link of similarity s is found at depth d with a chance that is known, so each link found stands for
-    some that were missed; as long as these are more than the target recall allows, prefixes are shortened by one
-    and the families that grow are verified anew. At f.floor any pair at the threshold itself meets with
-    that recall. Only sets of candidates are shuffled: a bitmap of fixed size tells the others apart.
+    some that were missed; if these are more than the target recall allows, prefixes are shortened to the longest at
+    which they are not, and the families that grow are verified anew, until the links then found agree. At f.floor any pair
+    at the threshold itself meets with that recall. Only sets of candidates are shuffled: a bitmap of fixed size tells the others apart.
     """
     spark = docs.sparkSession
     bounded_batches(docs)
     sign = _signer(f)
     rows = docs.select("doc_id", row_hash("doc_id").alias("rowkey"), sign(F.col("text")).alias("s"))
     rows = cut(rows.select("doc_id", "rowkey", "s.fp", "s.size", "s.labels"))
-    nodes = rows.where("fp is not null").groupBy("fp").agg(F.count("*").alias("rows"), F.first("size").alias("size"), F.first("labels").alias("labels"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("rowkey").alias("row")))
+    nodes = rows.where("fp is not null").groupBy("fp").agg(F.count("*").alias("rows"), F.first("size").alias("size"), first.alias("first"), F.first("labels").alias("labels"))
     nodes = cut(nodes)
     rows = rows.select("doc_id", "rowkey", "fp")
     ties = tries(nodes.select("fp", "labels"), f)
     nodes = nodes.drop("labels")
-    near = cut(ties.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    near = ties.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    near = cut(nodes.join(near, "fp", "left_semi").select("fp", "rows", "size", "first"))
     bitmap = spark.sparkContext.broadcast(sketch(near, first_bytes(F.col("fp")), f.sketch_bits))
     sets = docs.select(_opener(f, bitmap)(F.col("text")).alias("s")).select("s.*").where("shingles is not null")
-    sets = cut(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")).join(near, "fp", "left_semi"))
+    sets = cut(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")).join(near.select("fp", "rows", "size"), "fp"))
 
     family = near.select(F.col("fp").alias("node"), F.col("fp").alias("root"))
-    known = links = None
-    for d in f.levels:
-        family = _joined(family, ties.where(F.col("d") == d))
-        sizes = family.join(nodes.select(F.col("fp").alias("node"), "size"), "node").groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("size")).where("members > 1")
-        sizes = cut(sizes)
+    n = near.count()
+    d, upto, known, links = f.depth, f.depth + 1, None, None
+    while True:
+        family = _joined(family, ties.where((F.col("d") >= d) & (F.col("d") < upto)), n)
+        sizes = family.join(sets.select(F.col("fp").alias("node"), "size"), "node").groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("size"))
+        sizes = cut(sizes.where("members > 1"), n)
         grown = sizes if known is None else sizes.join(known, ["root", "members"], "left_anti")
-        more = _verified(family, grown, nodes, sets, f)
-        kept = None if links is None else links.join(sizes.join(known, ["root", "members"], "left_semi"), "root", "left_semi")
-        links, known = cut(more if kept is None else kept.unionByName(more)), sizes.select("root", "members")
-        pairs, missed = links.agg(F.sum("pairs"), F.sum(F.element_at("missed", f.depth - d + 1))).first()
-        if pairs and pairs >= f.recall * (pairs + missed):
+        more = _verified(family, grown, sets, f)
+        if links is not None:
+            more = more.unionByName(links.join(sizes.join(known, ["root", "members"], "left_semi"), "root", "left_semi"))
+        links, known = cut(more), sizes.select("root", "members")
+        pairs, *missed = links.agg(F.sum("pairs"), *[F.sum(F.element_at("missed", i + 1)) for i in range(len(f.levels))]).first()
+        enough = [x for x, m in zip(f.levels, missed, strict=True) if pairs and pairs >= f.recall * (pairs + m)]
+        if d == f.floor or enough and enough[0] == d:
             break
+        d, upto = (enough[0] if enough else f.floor), d
     links = links.where("fp is not null")
 
-    roots = components(links.select(F.col("fp").alias("a"), F.col("link").alias("b")))
     counts = links.groupBy("fp").agg(F.sum("links").alias("links"))
-    known = nodes.select("fp", "rows").join(counts, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    known = known.select("fp", "rows", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "fp").alias("root"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("rowkey").alias("row")))
-    heads = rows.where("fp is not null").groupBy("fp").agg(first.alias("first")).join(known, "fp")
-    classes = heads.groupBy("root").agg(F.min("first").alias("lead"), F.sum("rows").alias("class_size"))
-    per_node = cut(known.join(classes, "root").select("fp", "lead", "class_size", (F.col("links") + F.col("rows") - 1).alias("n_links")))
-    out = rows.select("doc_id", "rowkey", "fp").join(per_node, "fp", "left")
+    roots = cut(components(links.select(F.col("fp").alias("a"), F.col("link").alias("b"))).withColumnRenamed("node", "fp"), n)
+    classes = roots.join(near, "fp").groupBy("root").agg(F.min("first").alias("lead"), F.sum("rows").alias("class_size"))
+    linked = roots.join(small(cut(classes, n)), "root").join(counts, "fp").select("fp", "lead", "class_size", "links")
+    per_node = nodes.join(linked, "fp", "left").select("fp", F.coalesce("lead", "first").alias("lead"), F.coalesce("class_size", "rows").alias("class_size"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+    out = rows.join(cut(per_node), "fp", "left")
     kept = F.col("fp").isNull() | (F.col("doc_id").eqNullSafe(F.col("lead.id")) & (F.col("rowkey") == F.col("lead.row")))
     return out.select("doc_id", "rowkey", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("lead.id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), kept.alias("kept"))
 
