@@ -13,11 +13,11 @@ from weftgraph.llm import common
 from weftgraph.llm.decontaminate import decontaminate
 from weftgraph.llm import html_text
 from weftgraph.llm.html_text import extract_text, is_noise, main_text, surges
-from weftgraph.llm.language_model import Model, Tables, language_model, start
+from weftgraph.llm.language_model import Groups, Model, Tables, language_model, start
 from weftgraph.llm.licences import evaluate, licence_scan, parse
 from weftgraph.llm.mixing import mix_sources
 from weftgraph.llm.secrets import ASSIGN, battery, secret_spans
-from weftgraph.llm.toxicity import Settings, toxicity
+from weftgraph.llm.toxicity import Settings, labelled, toxicity
 
 
 def fold(t):
@@ -133,6 +133,9 @@ def test_toxicity_generalises_to_misspellings(spark):
     held = [(i, r) for i, r in got.items() if i is not None and i < 700 and r.held_out]
     assert sum((r.predicted == 1) == (i % 4 == 0) for i, r in held) / len(held) > 0.97
     assert got[5000].score > 0.5 > got[5001].score and 0 <= got[5002].score == got[5003].score <= 1
+    twice = known.union(spark.createDataFrame([(i, 1 - int(i % 4 == 0)) for i in range(0, 20)] + labels[:50], "doc_id long, toxic int"))
+    without = known.where("doc_id >= 20 or doc_id is null")
+    assert sorted(map(tuple, labelled(docs, twice, Settings()).collect())) == sorted(map(tuple, labelled(docs, without, Settings()).collect()))
     alone = toxicity(docs, known.limit(0)).select(F.max("score")).first()[0]
     assert alone == 0 and toxicity(docs.limit(0), known, Settings()).count() == 0
 
@@ -153,8 +156,8 @@ def test_language_model_counts_and_scores(spark):
     one, two = ["der", "die", "das", "und", "Haus"], ["the", "and", "of", "house", "tree"]
     rows = [(i, " ".join(rng.choices(one if i % 2 else two, k=40)) + (f" rare{i}" if i % 3 else "")) for i in range(300)]
     rows += [(900, None), (901, ""), (902, "unseen " * 3), (None, "the tree"), (1, rows[1][1])]
-    m = Model(words=8, classes=4, common=9, warm_docs=50)
-    got = language_model(frame(spark, rows), m).collect()
+    m = Model(words=8, least=2, classes=4, common=9, warm_docs=50, share=5_000)
+    got = language_model(frame(spark, rows, "n", "score", "held_out", "rid"), m).collect()
     tokens = {i: re.findall(common.TOKEN_CLASS, fold(t)) + [None] for i, t in rows}
     count = Counter()
     for i, t in rows:
@@ -171,14 +174,28 @@ def test_language_model_counts_and_scores(spark):
 
 
 def test_token_probabilities_sum_to_one():
-    m = Model(words=20, classes=4, dim=6)
-    t = Tables(start(m, np.full(m.size, 1 / m.size)))
-    k = np.arange(m.size)
+    m = Model(dim=6)
+    share = np.random.default_rng(1).exponential(1, 24) ** 3
+    groups = Groups(share / share.sum())
+    assert sorted(np.concatenate(groups.members).tolist()) == list(range(24)) and 1 < len(groups.members) < 24
+    t = Tables(start(m, share / share.sum(), groups), groups)
+    k = np.arange(24)
     for a, b in ((0, 0), (3, 17), (23, 5)):
-        total = (10 ** t.log10(np.full(m.size, a), np.full(m.size, b), k)).sum()
+        total = (10 ** t.log10(np.full(24, a), np.full(24, b), k, block=7)).sum()
         assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_does_not_depend_on_partitions(spark):
+    rng = random.Random(19)
+    rows = [(i, " ".join(rng.choices(["a", "b", "c", "d", "e", f"w{i % 7}"], k=rng.randrange(30)))) for i in range(200)]
+    rows += [(900, "a b c " * 150_000)]
+    m = Model(least=5, classes=4, warm_docs=20, share=100_000)
+    docs = frame(spark, rows)
+    one, two = ({r.doc_id: r.score for r in language_model(docs.repartition(k, *by), m).collect()} for k, by in ((1, ()), (7, ("doc_id",))))
+    assert one == pytest.approx(two, rel=1e-6)
+    assert one[900] > -450_001 * 0.5
+
+
 # ---------------------------------------------------------------- pages
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,27 +20,28 @@ END = np.uint64(2)
 
 @dataclass(frozen=True)
 class Model:
-    """words: frequent tokens with a vector of their own; classes: vectors for all others, by their last bytes.
+    """Tokens that occur `least` times have a vector of their own, so their number follows from the corpus; `words` bounds it,
+    as vectors go to every executor. All others share vectors of `classes` classes by their last bytes.
 
-    `common` tokens have their counts sent to every executor; the counts of all others are joined by shuffle.
-    warm_chars bounds the sample that the parameters are initialised on; then each training text is seen once.
+    `common` tokens have their counts sent to every executor; the counts of all others are joined by shuffle. Texts are
+    dealt by their hash to one learner for each `share` tokens, `learners` at most, each of which sees its texts once;
+    warm_chars bounds the sample that all of them start from.
     """
 
-    words: int = 960
+    words: int = 20_000
+    least: int = 50
     classes: int = 64
     dim: int = 16
-    noise: int = 64
+    noise: int = 48
     batch: int = 2048
     rate: float = 0.05
     common: int = 300_000
+    share: int = 2_000_000
+    learners: int = 2_000
     warm_docs: int = 2_000
     warm_chars: int = 6_000_000
     seed: int = 5
 
-    @property
-    def size(self) -> int:
-        return self.words + self.classes
-
 
 # ---------------------------------------------------------------- tokens
 
@@ -87,35 +89,54 @@ def token_counts(docs: DataFrame, m: Model) -> DataFrame:
 
 
 class Vocabulary:
-    """Counts of the most common tokens, and each token's number in the model."""
+    """Counts of the most common tokens, and each token's number in the model: words first, then classes."""
 
     def __init__(self, token: np.ndarray, n: np.ndarray, m: Model):
         """token, n: by falling count; the end comes first."""
+        self.words = min(m.words, int((n >= m.least).sum()) if len(n) else 0)
         order = np.argsort(token)
-        self.m, self.token, self.n = m, token[order], n[order]
+        self.token, self.n = token[order], n[order]
         number = np.full(len(token), -1, np.int32)
-        number[: m.words] = np.arange(min(m.words, len(token)))
+        number[: self.words] = np.arange(self.words)
         self.number = number[order]
 
     def look_up(self, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers in the model, and counts (-1: not among the common ones)."""
         if not len(self.token):
-            return self.m.words + cls, np.full(len(h), -1, np.int64)
+            return self.words + cls, np.full(len(h), -1, np.int64)
         at = np.minimum(np.searchsorted(self.token, h), len(self.token) - 1)
         hit = self.token[at] == h
         number = np.where(hit, self.number[at], -1)
-        return np.where(number < 0, self.m.words + cls, number), np.where(hit, self.n[at], -1)
+        return np.where(number < 0, self.words + cls, number), np.where(hit, self.n[at], -1)
 
 
 # ---------------------------------------------------------------- training
 
 
-def start(m: Model, noise: np.ndarray) -> list[np.ndarray]:
-    """Context vectors, target vectors, the matrices of the two places before a token, biases."""
+class Groups:
+    """Groups of numbers in the model, of about equal shares of the tokens and about the square root of them in number:
+    a probability is that of the group times that within it, so a token costs no sum over the whole vocabulary."""
+
+    def __init__(self, share: np.ndarray):
+        by_share = np.argsort(-share, kind="stable")
+        before = np.cumsum(share[by_share]) - share[by_share]
+        _, group = np.unique((before / share.sum() * math.isqrt(len(share))).astype(np.int64), return_inverse=True)
+        self.of = np.empty(len(share), np.int64)
+        self.of[by_share] = group
+        self.members = np.split(by_share, np.flatnonzero(np.diff(group)) + 1)
+        self.place = np.empty(len(share), np.int64)
+        for x in self.members:
+            self.place[x] = np.arange(len(x))
+        self.share = np.bincount(self.of, share)
+
+
+def start(m: Model, noise: np.ndarray, groups: Groups) -> list[np.ndarray]:
+    """Context vectors, target vectors of numbers and of groups (the last column is a bias), and the matrices of the two places
+    before a token."""
     rng = np.random.default_rng(m.seed)
-    vectors = [rng.normal(0, 0.1, (m.size, m.dim)).astype(np.float32) for _ in range(2)]
-    places = [np.eye(m.dim, dtype=np.float32) for _ in range(2)]
-    return [*vectors, *places, np.log(noise).astype(np.float32)]
+    context = rng.normal(0, 0.1, (len(noise), m.dim))
+    targets = [np.column_stack([rng.normal(0, 0.1, (len(x), m.dim)), np.log(x)]) for x in (noise, groups.share)]
+    return [x.astype(np.float32) for x in (context, *targets, np.eye(m.dim), np.eye(m.dim))]
 
 
 def contexts(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,12 +152,14 @@ def contexts(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Trainer:
-    def __init__(self, theta: list[np.ndarray], noise: np.ndarray, m: Model, seed: int = 0):
-        self.theta, self.m = [x.copy() for x in theta], m
+    """Noise-contrastive estimation of two targets from one context: the token's group, and the token."""
+
+    def __init__(self, theta: list[np.ndarray], noise: np.ndarray, groups: Groups, m: Model):
+        self.theta, self.m, self.group = [x.copy() for x in theta], m, groups.of
         self.sums = [np.full_like(x, 1e-6) for x in theta]
-        self.log_noise = np.log(noise * m.noise).astype(np.float32)
-        self.cum = np.cumsum(noise)
-        self.rng = np.random.default_rng(m.seed + seed)
+        self.log_noise = [np.log(x * m.noise).astype(np.float32) for x in (noise, groups.share)]
+        self.cum = [np.cumsum(x) for x in (noise, groups.share)]
+        self.rng = np.random.default_rng(m.seed)
         self.seen = 0
 
     def learn(self, ids: np.ndarray, ends: np.ndarray) -> None:
@@ -149,43 +172,48 @@ class Trainer:
         self.seen += len(ids)
 
     def _step(self, u: np.ndarray, v: np.ndarray, t: np.ndarray) -> None:
-        r, q, c1, c2, b = self.theta
-        size, dim = r.shape
-        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(self.m.noise) * self.cum[-1]), size - 1)
-        ru, rv, qt, qn = r[u], r[v], q[t], q[noise]
-        p = ru @ c1 + rv @ c2
-        up = 1 / (1 + np.exp(np.clip((p * qt).sum(1) + b[t] - self.log_noise[t], -30, 30)))
-        down = 1 / (1 + np.exp(-np.clip(p @ qn.T + b[noise] - self.log_noise[noise], -30, 30)))
-        gp = up[:, None] * qt - down @ qn
-        cells = np.arange(dim)
-
-        def scatter(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-            return np.bincount((rows[:, None] * dim + cells).ravel(), values.ravel(), size * dim).reshape(size, dim)
-
-        gq = scatter(t, up[:, None] * p)
-        np.add.at(gq, noise, -(down.T @ p))
-        gr = scatter(u, gp @ c1.T) + scatter(v, gp @ c2.T)
-        gb = np.bincount(t, up, size)
-        np.add.at(gb, noise, -down.sum(0))
-        for x, s, g in zip(self.theta, self.sums, (gr, gq, ru.T @ gp, rv.T @ gp, gb), strict=True):
-            g = (g / len(t)).astype(np.float32)
-            s += g * g
-            x += self.m.rate * g / np.sqrt(s)
-
-
-_BLOCK = 1024
-
-
-def train(docs: DataFrame, vocabulary, noise: np.ndarray, theta: list[np.ndarray], m: Model) -> list[np.ndarray]:
-    """Parameters after each partition has learned from all its texts, averaged by tokens seen."""
+        r, _, _, c1, c2 = self.theta
+        ru, rv = r[u], r[v]
+        p = np.concatenate([ru @ c1 + rv @ c2, np.ones((len(t), 1), np.float32)], axis=1)
+        back = np.zeros_like(p)
+        for k, target in ((1, t), (2, self.group[t])):
+            q, log_noise, cum = self.theta[k], self.log_noise[k - 1], self.cum[k - 1]
+            noise = np.minimum(np.searchsorted(cum, self.rng.random(self.m.noise) * cum[-1]), len(q) - 1)
+            qt, qn = q[target], q[noise]
+            up = 1 / (1 + np.exp(np.clip((p * qt).sum(1) - log_noise[target], -30, 30)))
+            down = 1 / (1 + np.exp(-np.clip(p @ qn.T - log_noise[noise], -30, 30)))
+            back += up[:, None] * qt - down @ qn
+            self._move(k, np.concatenate([target, noise]), np.concatenate([up[:, None] * p, -(down.T @ p)]), len(t))
+        back = back[:, :-1]
+        moves = ru.T @ back, rv.T @ back
+        self._move(0, np.concatenate([u, v]), np.concatenate([back @ c1.T, back @ c2.T]), len(t))
+        for k, g in zip((3, 4), moves, strict=True):
+            self._move(k, np.arange(len(g)), g, len(t))
+
+    def _move(self, k: int, rows: np.ndarray, values: np.ndarray, n: int) -> None:
+        """Add up the values of each row and take a step; rows that do not occur are not touched."""
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        g = np.add.reduceat(values[order], begins) / np.float32(n)
+        rows = rows[begins]
+        self.sums[k][rows] += g * g
+        self.theta[k][rows] += self.m.rate * g / np.sqrt(self.sums[k][rows])
+
+
+_BLOCK = 4096
+
+
+def train(docs: DataFrame, vocabulary, noise: np.ndarray, groups: Groups, theta: list[np.ndarray], learners: int, m: Model) -> list[np.ndarray]:
+    """Parameters after each learner has learned from all its texts, averaged by tokens seen. Texts go to learners, and
+    come to them in turn, by their hashes, so that neither partitions nor reruns change what is learned."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((theta, noise))
+    shared = spark.sparkContext.broadcast((theta, noise, groups))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin, pn = shared.value
-        t = Trainer(begin, pn, m)
-        for batch in batches:
-            for _, _, h, cls, ends in tokens(batch.column(0), m.classes):
+        t = Trainer(*shared.value, m)
+        for texts in _runs(batches):
+            for _, _, h, cls, ends in tokens(texts, m.classes):
                 t.learn(vocabulary.value.look_up(h, cls)[0], ends)
         if t.seen:
             flat = np.concatenate([x.ravel() for x in t.theta])
@@ -193,12 +221,15 @@ def train(docs: DataFrame, vocabulary, noise: np.ndarray, theta: list[np.ndarray
             yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([t.seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["block", "seen", "part"])
 
     def average(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("seen", "ascending"), ("part", "ascending")])  # sums of floats depend on their order
         seen = np.array(group.column("seen").to_pylist(), np.float64)
-        parts = np.stack([np.frombuffer(x, np.float32) for x in group.column("part").to_pylist()])
-        mean = (seen @ parts / seen.sum()).astype(np.float32)
-        return pa.table([pa.array([group.column("block")[0].as_py()], pa.int32()), pa.array([mean.tobytes()], pa.binary())], names=["block", "part"])
+        total = np.zeros(len(group.column("part")[0].as_py()) // 4)
+        for k, part in zip(seen, group.column("part"), strict=True):
+            total += k * np.frombuffer(part.as_py(), np.float32)
+        return pa.table([pa.array([group.column("block")[0].as_py()], pa.int32()), pa.array([(total / seen.sum()).astype(np.float32).tobytes()], pa.binary())], names=["block", "part"])
 
-    parts = docs.select("text").mapInArrow(learn, "block int, seen long, part binary").groupBy("block").applyInArrow(average, "block int, part binary").collect()
+    dealt = docs.select("text", F.xxhash64("text").alias("h")).repartition(learners, "h").sortWithinPartitions("h", "text")
+    parts = dealt.select("text").mapInArrow(learn, "block int, seen long, part binary").groupBy("block").applyInArrow(average, "block int, part binary").collect()
     if not parts:
         return theta
     flat = np.concatenate([np.frombuffer(bytes(r.part), np.float32) for r in sorted(parts, key=lambda r: r.block)])
@@ -209,22 +240,56 @@ def train(docs: DataFrame, vocabulary, noise: np.ndarray, theta: list[np.ndarray
     return out
 
 
-class Tables:
-    """What a context adds to a token's score, and the logarithm of each context's sum over all numbers."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """The texts of all batches in runs of CHUNK bytes, wherever a batch ends."""
+    held: list[str] = []
+    size = 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            held.append(text)
+            size += len(text.encode())
+            if size >= CHUNK:
+                yield pa.array(held, pa.large_string())
+                held, size = [], 0
+    if held:
+        yield pa.array(held, pa.large_string())
 
-    def __init__(self, theta: list[np.ndarray]):
-        r, q, c1, c2, b = (x.astype(np.float32) for x in theta)
-        p1, p2 = r @ c1, r @ c2
-        self.one, self.two, self.bias = p1 @ q.T, p2 @ q.T, b
-        self.log_sum = np.empty((len(r), len(r)), np.float32)
-        base = self.two + b
-        for u in range(len(r)):
-            s = base + self.one[u]
-            top = s.max(1)
-            self.log_sum[u] = top + np.log(np.exp(s - top[:, None]).sum(1))
 
-    def log10(self, one: np.ndarray, two: np.ndarray, t: np.ndarray) -> np.ndarray:
-        return (self.one[one, t] + self.two[two, t] + self.bias[t] - self.log_sum[one, two]).astype(np.float64) / np.log(10)
+class Tables:
+    """What each number adds to a prediction from one and two places before a token, and normalised probabilities."""
+
+    def __init__(self, theta: list[np.ndarray], groups: Groups):
+        r, self.q, self.gq, c1, c2 = (x.astype(np.float32) for x in theta)
+        one = np.ones((len(r), 1), np.float32)
+        self.one, self.two = np.concatenate([r @ c1, one], axis=1), np.concatenate([r @ c2, 0 * one], axis=1)
+        self.groups = groups
+        self.words = [self.q[x].T for x in groups.members]
+        self.gq = self.gq.T
+
+    def log10(self, one: np.ndarray, two: np.ndarray, t: np.ndarray, block: int = 8192) -> np.ndarray:
+        """The base-10 log-probability of t after the numbers `one` and `two` places before it."""
+        out = np.empty(len(t))
+        for lo in range(0, len(t), block):
+            p = self.one[one[lo : lo + block]] + self.two[two[lo : lo + block]]
+            here = t[lo : lo + block]
+            group = self.groups.of[here]
+            logs = _log_share(p @ self.gq, group)
+            order = np.argsort(group, kind="stable")
+            begins = np.flatnonzero(np.diff(group[order], prepend=-1))
+            for a, b in zip(begins, [*begins[1:], len(order)], strict=True):
+                i = order[a:b]
+                words = self.words[group[i[0]]]
+                if words.shape[1] > 1:
+                    logs[i] += _log_share(p[i] @ words, self.groups.place[here[i]])
+            out[lo : lo + block] = logs
+        return out / np.log(10)
+
+
+def _log_share(s: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The logarithm of entry k of each row's softmax."""
+    s -= s.max(axis=1)[:, None]
+    own = s[np.arange(len(s)), k].astype(np.float64)
+    return own - np.log(np.exp(s, out=s).sum(axis=1))
 
 
 # ---------------------------------------------------------------- scoring
@@ -253,9 +318,10 @@ def language_model(docs: DataFrame, m: Model = Model()) -> DataFrame:
     that of the model. Without training rows all counts are 0 and the model is its starting point. Repeated
     rows count as often as they occur and each get a row; other columns are ignored.
 
-    A frequent token's probability is the log-bilinear model's, normalised over its vocabulary for the two
-    tokens before; any other token's is its class's probability times its smoothed share of the class's
-    count, in which one unseen token counts as well. Tokens are told apart by 64-bit hashes.
+    A frequent token's probability is the log-bilinear model's for the two tokens before, normalised in two steps: over
+    groups of tokens, and within the token's group. Any other token's is its class's probability times its smoothed
+    share of the class's count, in which one unseen token counts as well. Tokens are told apart by 64-bit hashes.
+    Scores do not depend on how the rows are partitioned, nor on their order.
     """
     spark = docs.sparkSession
     bounded_batches(docs)
@@ -272,17 +338,17 @@ def language_model(docs: DataFrame, m: Model = Model()) -> DataFrame:
     shared_voc = spark.sparkContext.broadcast(voc)
 
     # Counts of the classes: all tokens without a vector of their own.
-    own = spark.createDataFrame([(int(t),) for t in token[: m.words]] or [(end,)], "token long")
+    own = spark.createDataFrame([(int(t),) for t in token[: voc.words]] or [(end,)], "token long")
     rest = counts.join(F.broadcast(own), "token", "left_anti").groupBy("cls").agg(F.sum("n").alias("n"), F.sum(F.col("n") + 0.5).alias("mass")).collect()
-    mass, noise = np.full(m.classes, 0.5), np.full(m.size, 0.5)
-    noise[: len(n[: m.words])] += n[: m.words]
+    mass, noise = np.full(m.classes, 0.5), np.full(voc.words + m.classes, 0.5)
+    noise[: voc.words] += n[: voc.words]
     for r in rest:
         mass[r.cls] += r.mass
-        noise[m.words + r.cls] += r.n
+        noise[voc.words + r.cls] += r.n
     noise /= noise.sum()
+    groups = Groups(noise)
 
-    theta = start(m, noise)
-    warm = Trainer(theta, noise, m)
+    warm = Trainer(start(m, noise, groups), noise, groups, m)
     # a bounded sample in hash order: hashes alone decide which texts come to the driver
     drawn = learn.where(F.length("text") <= m.warm_chars * 10 // m.warm_docs).select(F.xxhash64("doc_id", "text").alias("h"), "text")
     last = drawn.select("h").orderBy("h").limit(m.warm_docs).agg(F.max("h")).first()[0]
@@ -291,8 +357,9 @@ def language_model(docs: DataFrame, m: Model = Model()) -> DataFrame:
     for _, _, h, cls, ends in tokens(pa.array(texts, pa.string()), m.classes):
         for _ in range(2):
             warm.learn(voc.look_up(h, cls)[0], ends)
-    theta = train(learn, shared_voc, noise, warm.theta, m)
-    shared = spark.sparkContext.broadcast((Tables(theta), np.log10(mass)))
+    learners = max(1, min(m.learners, -(-total // m.share)))
+    theta = train(learn, shared_voc, noise, groups, warm.theta, learners, m)
+    shared = spark.sparkContext.broadcast((Tables(theta, groups), np.log10(mass)))
 
     kind = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
@@ -307,7 +374,7 @@ def language_model(docs: DataFrame, m: Model = Model()) -> DataFrame:
             logs = tables.log10(one, two, ids)
             common = c >= 0
             smoothed = np.where(common, np.log10(np.maximum(c, 0) + 0.5), 0.0)
-            tail = ids >= m.words
+            tail = ids >= shared_voc.value.words
             logs += np.where(tail, smoothed - log_mass[cls], 0.0)
             begin = np.concatenate([[0], ends[:-1]])
             for x, values in zip(out, (np.ones(len(h)), common, smoothed, logs), strict=True):
@@ -323,7 +390,7 @@ def language_model(docs: DataFrame, m: Model = Model()) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held.alias("held_out"), score("text").alias("s"))
     rows = cut(rows.select("rid", "doc_id", "held_out", "s.*"))
     rare = rows.select("rid", F.explode("rare").alias("token"))
-    found = rare.join(counts.select("token", F.col("n").alias("c")).hint("shuffle_hash"), "token", "left")
+    found = rare.join(counts.select("token", F.col("n").alias("c")), "token", "left")
     sums = found.groupBy("rid").agg(F.count("c").alias("more"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"))
     out = rows.drop("rare").join(sums, "rid", "left")
     logs = F.coalesce("logs", F.lit(0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,21 +19,25 @@ from weftgraph.llm.common import WORD_BYTES, bounded_batches, held_in, mix, piec
 class Settings:
     """max_docs and max_chars bound the sample of labelled texts that the model is fitted on.
 
-    A text's mean takes in `blanks` subwords of no weight, so that a few subwords alone decide nothing; `gain`
-    scales the mean before the softmax.
+    A subword of share q of the sample counts common / (common + q) in a text's mean, so that those of every other text do
+    not drown the others; subwords of fewer than `least` texts, or one in `rare`, have no vector. A mean takes in `blanks`
+    subwords of no weight, so that a few subwords alone decide nothing; `gain` scales it before the softmax.
     """
 
     max_docs: int = 12_000
     max_chars: int = 60_000_000
-    bits: int = 18
+    bits: int = 20
     dim: int = 8
     shortest: int = 3
-    longest: int = 5
+    longest: int = 6
+    common: float = 1e-4
+    least: int = 5
+    rare: int = 200
     updates: int = 60_000
-    rate: float = 0.3
-    decay: float = 1e-3
-    gain: float = 30.0
-    blanks: float = 1000.0
+    rate: float = 0.5
+    decay: float = 1e-4
+    gain: float = 300.0
+    blanks: float = 100.0
     seed: int = 7
 
 
@@ -62,42 +66,69 @@ def subwords(data: bytes, s: Settings):
             yield ok, (mix(h[ok] + np.uint64(n)) >> np.uint64(64 - s.bits)).astype(np.int64)
 
 
-def _bag(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    ids = [np.empty(0, np.int64)]
-    for _, _, data, _ in pieces(pa.array([text]), WORD_BYTES):
-        ids += [f for _, f in subwords(b" " + b" ".join(data.split()) + b" ", s)]
-    ids, counts = np.unique(np.concatenate(ids), return_counts=True)
-    return ids.astype(np.int32), np.minimum(counts, 65535).astype(np.uint16)
-
-
-def _bags(texts: Iterable[str], s: Settings, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bags of texts, as views of large arrays: many small ones would leave the driver's memory in pieces."""
-    found = iter(texts)
-    while part := [_bag(t, s) for t in islice(found, block)]:
-        ends = np.cumsum([len(ids) for ids, _ in part])[:-1]
-        yield from zip(*(np.split(np.concatenate(x), ends) for x in zip(*part, strict=True)), strict=True)
+def _plain(text: str) -> bytes:
+    """Lower-case words with a blank around each."""
+    return b" " + b" ".join(w for _, _, data, _ in pieces(pa.array([text]), WORD_BYTES) for w in data.split()) + b" "
+
+
+class Sample:
+    """Texts of the sample as bags of subwords; only one text's subwords are held at a time before the rare ones are gone."""
+
+    def __init__(self, texts: Iterable[str], s: Settings):
+        size = 1 << s.bits
+        words, seen = [], np.zeros(size, bool)
+        self.docs, self.total = np.zeros(size, np.int32), np.zeros(size)
+        for t in texts:
+            words.append(_plain(t))
+            for _, ids in subwords(words[-1], s):
+                seen[ids] = True
+                np.add.at(self.total, ids, 1)
+            own = np.flatnonzero(seen)
+            self.docs[own] += 1
+            seen[own] = False
+        self.kept = np.flatnonzero(self.docs >= max(s.least, len(words) // s.rare))
+        slot = np.full(size, -1, np.int32)
+        slot[self.kept] = np.arange(len(self.kept))
+        self.bags: list[tuple[np.ndarray, np.ndarray, int]] = []
+        for i in range(0, len(words), 256):
+            # views of large arrays: many small ones would leave the driver's memory in pieces
+            part = [self._bag(w, slot, s) for w in words[i : i + 256]]
+            ends = np.cumsum([len(ids) for ids, _, _ in part])[:-1]
+            ids, counts = (np.split(np.concatenate([x[k] for x in part]), ends) for k in (0, 1))
+            self.bags += zip(ids, counts, (n for *_, n in part), strict=True)
+            words[i : i + 256] = [b""] * len(part)
+
+    @staticmethod
+    def _bag(words: bytes, slot: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, int]:
+        ids = np.concatenate([np.empty(0, np.int64), *(f for _, f in subwords(words, s))])
+        kept, counts = np.unique(slot[ids], return_counts=True)
+        first = 1 if len(kept) and kept[0] < 0 else 0
+        return kept[first:], np.minimum(counts[first:], 65535).astype(np.uint16), len(ids)
 
 
 def train(texts: Iterable[str], labels: list[int], s: Settings = Settings()) -> tuple[np.ndarray, float]:
     """Fit embeddings and softmax together; returns what each subword adds to the log-odds, and the bias.
 
-    The mean embedding of a text's subwords goes through a two-class softmax. Both layers take Adagrad steps
-    of the cross-entropy, one text at a time, with weight decay. As the classifier is linear, the two layers fold into one number
-    per subword afterwards.
+    The weighted mean embedding of a text's subwords goes through a two-class softmax. Both layers take gradient steps of the
+    cross-entropy, one text at a time, at a falling rate and with weight decay; steps are not scaled by how rare a
+    subword is, as that would learn the texts by heart. As the classifier is linear, the two layers fold into one
+    number per subword afterwards.
     """
     rng = np.random.default_rng(s.seed)
-    size = 1 << s.bits
-    emb = rng.uniform(-0.1 / s.dim, 0.1 / s.dim, (size, s.dim)).astype(np.float32)
+    sample = Sample(texts, s)
+    weight = s.gain * s.common / (s.common + sample.total[sample.kept] / max(sample.total.sum(), 1.0))
+    emb = rng.uniform(-0.1 / s.dim, 0.1 / s.dim, (len(sample.kept), s.dim)).astype(np.float32)
     out = rng.normal(0, 1, (s.dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    sum_emb, sum_out, sum_bias = np.full(size, 1e-8, np.float32), np.full(out.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    bags = list(_bags(texts, s))
-    for _ in range(max(4, min(15, s.updates // len(bags)))):
-        for i in rng.permutation(len(bags)):
-            ids, counts = bags[i]
-            weight = (s.gain * counts / (counts.sum(dtype=np.int64) + s.blanks)).astype(np.float32)
+    sum_out, sum_bias = np.full(out.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
+    passes = max(5, min(10, s.updates // len(sample.bags)))
+    for k in range(passes):
+        rate = s.rate * (1 - k / passes)
+        for i in rng.permutation(len(sample.bags)):
+            ids, counts, n = sample.bags[i]
+            share = (weight[ids] * counts / (n + s.blanks)).astype(np.float32)
             vectors = emb[ids]
-            h = weight @ vectors
+            h = share @ vectors
             z = h @ out + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -105,18 +136,20 @@ def train(texts: Iterable[str], labels: list[int], s: Settings = Settings()) ->
             back = out @ p
             step = np.outer(h, p)
             sum_out += step**2
-            out -= s.rate * step / np.sqrt(sum_out)
+            out -= rate * step / np.sqrt(sum_out)
             sum_bias += p**2
-            bias -= s.rate * p / np.sqrt(sum_bias)
-            sum_emb[ids] += weight**2 * (float(back @ back) / s.dim)
-            emb[ids] = vectors * (1 - s.decay) - (s.rate * weight / np.sqrt(sum_emb[ids]))[:, None] * back
-    return (s.gain * emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
+            bias -= rate * p / np.sqrt(sum_bias)
+            emb[ids] = vectors * (1 - s.decay) - (rate * share)[:, None] * back
+    odds = np.zeros(1 << s.bits, np.float32)
+    odds[sample.kept] = weight * (emb @ (out[:, 1] - out[:, 0]))
+    return odds, float(bias[1] - bias[0])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     """A bounded sample of labelled rows outside the held-out fold: text, toxic; in hash order, so reruns agree."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~held_in(F.col("doc_id"), 0))
     known = labels.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     chosen = known.where(~held_in(F.col("doc_id"), 0)).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(s.max_docs)
     return rows.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= s.max_chars * 10 // s.max_docs).orderBy(F.xxhash64("doc_id", "text"), "toxic").limit(s.max_docs).select("text", "toxic")
 
@@ -145,8 +178,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
     Each whole text is scored: the mean of its subwords' log-odds through the logistic function. Fitted on a sample
     of at most s.max_docs labelled rows (and s.max_chars characters; texts ten times over the mean that allows are not
     used for fitting) with crc32(doc_id) mod 5 other than 0. Null and empty texts have no subwords and score by the
-    bias alone. Without labelled rows every score is 0. Null ids count as the empty text for the fold; null labels are ignored; repeated rows score alike. Columns
-    with the added names are replaced.
+    bias alone. Without labelled rows every score is 0. Null ids count as the empty text for the fold; null labels and
+    those of documents with labels that contradict each other are ignored, equal ones count once; repeated rows score
+    alike. doc_id may be of any type that labels' doc_id can be cast to. Columns with the added names are replaced.
     """
     bounded_batches(docs)
     docs = without(docs, "held_out", "score", "predicted", "_score")
