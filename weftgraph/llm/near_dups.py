@@ -366,7 +366,8 @@ def jaccard_join(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
         grown = sizes if known is None else sizes.join(known, ["root", "members"], "left_anti")
         more = _verified(family, grown, sets, f)
         if links is not None:
-            more = more.unionByName(links.join(sizes.join(known, ["root", "members"], "left_semi"), "root", "left_semi"))
+            same = cut(sizes.join(known, ["root", "members"], "left_semi").select("root"), n)
+            more = more.unionByName(links.join(small(same), "root", "left_semi"))
         links, known = cut(more), sizes.select("root", "members")
         pairs, *missed = links.agg(F.sum("pairs"), *[F.sum(F.element_at("missed", i + 1)) for i in range(len(f.levels))]).first()
         enough = [x for x, m in zip(f.levels, missed, strict=True) if pairs and pairs >= f.recall * (pairs + m)]
