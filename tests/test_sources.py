@@ -27,17 +27,43 @@ def test_snapshot_round_trip(spark, g, tmp_path):
     assert h.info["N"].temporal == ("x", "x")
 
 
-def test_exports(g, tmp_path):
+def whole(path):
+    return "\n".join(f.read_text() for f in sorted(path.glob("part-*")))
+
+
+def test_exports(spark, g, tmp_path):
     import xml.etree.ElementTree as ET
 
-    snapshot.export(g, str(tmp_path / "g.json"), "d3")
-    d = json.loads((tmp_path / "g.json").read_text())
-    assert len(d["nodes"]) == 2 and d["links"][0]["w"] == 7
-    for kind in ("graphml", "gexf"):
-        snapshot.export(g, str(tmp_path / f"g.{kind}"), kind)
-        ET.parse(tmp_path / f"g.{kind}")
+    snapshot.export(g, spark, str(tmp_path / "d3"), "d3")
+    d = json.loads(whole(tmp_path / "d3"))
+    assert [(n["id"], n["title"], n["x"]) for n in d["nodes"]] == [("N:1", "A & <B>", 2.0), ("N:2", None, None)]
+    assert d["links"] == [{"source": "N:1", "target": "N:2", "type": "E", "w": 7}]
+    assert json.loads(snapshot.export_string(g, spark, "d3")) == d
+    snapshot.export(g, spark, str(tmp_path / "graphml"), "graphml")
+    root = ET.fromstring(whole(tmp_path / "graphml").split("\n", 1)[1])
+    name = "{http://graphml.graphdrawing.org/xmlns}"
+    data = {n.get("id"): {x.get("key"): x.text for x in n} for n in root.iter(f"{name}node")}
+    assert data == {"N:1": {"type": "N", "title": "A & <B>", "x": "2.0"}, "N:2": {"type": "N", "title": None}}
+    assert [{x.get("key"): x.text for x in e} for e in root.iter(f"{name}edge")] == [{"type": "E", "w": "7"}]
+    assert {k.get("id") for k in root.iter(f"{name}key")} == {"type", "title", "x", "w"}
+    snapshot.export(g, spark, str(tmp_path / "gexf"), "gexf")
+    root = ET.fromstring(whole(tmp_path / "gexf").split("\n", 1)[1])
+    name = "{http://gexf.net/1.3}"
+    values = {n.get("id"): {x.get("for"): x.get("value") for x in n.iter(f"{name}attvalue")} for n in root.iter(f"{name}node")}
+    assert values == {"N:1": {"type": "N", "x": "2.0"}, "N:2": {"type": "N"}}
+    assert [{x.get("for"): x.get("value") for x in e.iter(f"{name}attvalue")} for e in root.iter(f"{name}edge")] == [{"w": "7"}]
     snapshot.export_csv(g, str(tmp_path / "csv"))
     assert (tmp_path / "csv/nodes/N/_SUCCESS").exists()
+    lone = PropertyGraph(nodes={"N": g.nodes["N"]})
+    assert json.loads(snapshot.export_string(lone, spark, "d3"))["links"] == []
+
+
+def test_embeddings_round_trip(spark, g, tmp_path):
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (9, [0.0, 1.0])], "id long, vector array<float>")
+    snapshot.export_embeddings(g.set_embeddings("N", "text", v), str(tmp_path / "e"))
+    h = snapshot.import_embeddings(g, spark, str(tmp_path / "e"))
+    assert [tuple(r) for r in snapshot.list_embeddings(h).collect()] == [("N", "text", 1, 2, 1)]
+    assert snapshot.list_embeddings(g) is None
 
 
 def test_ntriples(spark, tmp_path):
@@ -57,6 +83,20 @@ def test_ntriples(spark, tmp_path):
     assert [tuple(r) for r in g.edge_table("in").select("src_type", "src", "dst_type", "dst").collect()] == [("City", "Q1", "Entity", "Q2")]
 
 
+def test_ntriples_escapes_and_blank_nodes(spark, tmp_path):
+    lines = [
+        r'<http://x/a> <http://x/p/label> "C:\\new\tline\n \"q\" \u00e9 \uD83D\uDE00 \U0001F600" .',
+        '_:b1 <http://x/p/label> "blank" . # why not',
+        "<http://x/a> <http://x/p/in> _:b1 .",
+        '<http://y/a> <http://x/p/label> "other" .',
+    ]
+    (tmp_path / "b.nt").write_text("\n".join(lines))
+    g = load_ntriples(spark, str(tmp_path / "b.nt"), links=["in"], whole=True)
+    assert {r.id: r.title for r in g.nodes["Entity"].collect()} == {"http://x/a": 'C:\\new\tline\n "q" é 😀 😀', "_:b1": "blank", "http://y/a": "other"}
+    assert [tuple(r) for r in g.edge_table("in").select("src", "dst").collect()] == [("http://x/a", "_:b1")]
+    assert load_ntriples(spark, str(tmp_path / "b.nt")).nodes["Entity"].count() == 2
+
+
 def test_blueprint(spark, tmp_path):
     (tmp_path / "field.csv").write_text("fid,name,owner,status\n1,Troll,10,on\n2,Ekofisk,11,off\n")
     (tmp_path / "company.csv").write_text("cid,name\n10,Alpha\n11,Beta\n")

@@ -23,24 +23,26 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame, normalized: bool = Tru
     return degrees(nodes, edges).select("node", (F.col("degree") * scale).alias("score"))
 
 
+def _tangled(e: DataFrame) -> bool:
+    """Whether some node of the edges (u, v), u > v, is neither a center nor a leaf of one center."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("center")).union(e.select(F.col("v").alias("x"), F.lit(0), F.lit(1)))
+    return not ends.groupBy("x").agg((F.sum("leaf") + F.max("center")).alias("n")).where("n > 1").isEmpty()
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component, size): component is the smallest node connected with it, whatever the directions.
 
-    Large-star and small-star steps in turn; the number of rounds grows with the logarithm of the size.
+    Large-star and small-star steps in turn until only stars are left; the number of rounds grows with the logarithm of the
+    size. Minima are written before they are joined, so that the edges of a node with very many of them can be split.
     """
-    e = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
+    e = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
+    while _tangled(e):
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         pairs = large.join(low, "a")
         e = cut(pairs.select(F.col("b").alias("u"), F.col("m").alias("v")).union(pairs.select("a", "m")).where("u <> v").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
     out = nodes.select(F.col("id").alias("node")).join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left")
     out = out.withColumn("component", F.coalesce("component", "node"))
     sizes = out.groupBy("component").agg(F.count("*").alias("size"))
@@ -93,12 +95,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     sources = share.select(F.col("src").alias("node")).distinct()
     hangs = cut(ids.join(sources.withColumn("_has", F.lit(True)), "node", "left").select("node", F.col("_has").isNull().alias("hangs")))
     score = hangs.withColumn("score", F.lit(1.0 / n))
+    lost = hangs.where("hangs").count() / n
     for _ in range(rounds):
-        lost = score.where("hangs").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         given = share.join(score, share.src == score.node).groupBy("dst").agg(F.sum(F.col("share") * F.col("score")).alias("given"))
         new = F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("given", F.lit(0.0))
         step = cut(score.join(given, score.node == given.dst, "left").select("node", "hangs", new.alias("score"), F.abs(new - F.col("score")).alias("moved")))
-        moved = step.agg(F.sum("moved")).first()[0]
+        moved, lost = step.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("hangs"), F.col("score"))), F.lit(0.0))).first()
         score = step.drop("moved")
         if moved < tolerance:
             break

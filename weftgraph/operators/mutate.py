@@ -76,10 +76,14 @@ def delete_nodes(g: PropertyGraph, node_type: str, ids: DataFrame, detach: bool
     for name, tables in g.edges.items():
         out = []
         for t in tables:
+            if node_type not in (t.src_type, t.dst_type):
+                out.append(t)
+                continue
             df = t.df
             for end, kind in (("src", t.src_type), ("dst", t.dst_type)):
                 if kind == node_type:
                     df = df.join(ids.withColumnRenamed("id", end), end, "left_anti").select(*t.df.columns)
+            n_edges += t.df.count() - df.count() if detach else 0
             out.append(replace(t, df=df, key=None))
         edges[name] = tuple(out)
     if not detach:
@@ -97,7 +101,8 @@ def delete_edges(g: PropertyGraph, edge_type: str, pairs: DataFrame) -> Property
     """Delete all relationships between pairs (src, dst)."""
     pairs = pairs.select("src", "dst").distinct()
     tables = tuple(replace(t, df=t.df.join(pairs, ["src", "dst"], "left_anti").select(*t.df.columns), key=None) for t in g.edges[edge_type])
-    return g._next("delete_edges", edges={**g.edges, edge_type: tables})
+    n = sum(t.df.count() - new.df.count() for t, new in zip(g.edges[edge_type], tables, strict=True))
+    return g._next("delete_edges", {"relationships_deleted": n}, edges={**g.edges, edge_type: tables})
 
 
 def merge_nodes(g: PropertyGraph, node_type: str, rows: DataFrame, key: list[str], on_create: Mapping[str, Any] | None = None, on_match: Mapping[str, Any] | None = None) -> PropertyGraph:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -144,20 +145,24 @@ class Selection:
 
     # ------------------------------------------------------------ growth
 
-    def traverse(self, edge: str, direction: str = "both", to: str | None = None, where: Mapping[str, Any] | None = None, where_edge: Mapping[str, Any] | None = None, limit: int | None = None, sort: Sequence = (), at: Column | None = None) -> Selection:
-        """A new level of the nodes across a relationship; limit is per source. `at` keeps valid relationships and nodes."""
+    def traverse(self, edge: str, direction: str = "both", to: str | None = None, where: Mapping[str, Any] | None = None, where_edge: Mapping[str, Any] | None = None, limit: int | None = None, sort: Sequence = (), at: Column | None = None, during: tuple[Column, Column] | None = None, temporal: bool = True) -> Selection:
+        """A new level of the nodes across a relationship; limit is per source. `at` keeps relationships and nodes that are
+        valid on a day, `during` those valid at some time from its first to its last day; temporal=False asks for neither."""
+        def valid(start: Column, end: Column) -> Column | None:
+            if not temporal or at is None and during is None:
+                return None
+            return dates.valid_at(at, start, end) if at is not None else dates.valid_during(*during, start, end)
+
         found, kinds = None, set()
         for _, t in self.graph.edge_pairs(edge):
             for near, far, a, b, way in (("src", "dst", t.src_type, t.dst_type, "out"), ("dst", "src", t.dst_type, t.src_type, "in")):
                 if a != self.type or direction not in (way, "both") or to not in (None, b):
                     continue
                 e = t.df if where_edge is None else t.df.where(conditions(t.df, where_edge))
-                if at is not None and (periods := self.graph.edge_temporal.get(edge)):
-                    ok = F.lit(False)
-                    for p in periods:
-                        if set(p) <= set(e.columns):
-                            ok = ok | dates.valid_at(at, F.col(p[0]), F.col(p[1]))
-                    e = e.where(ok)
+                periods = [p for p in self.graph.edge_temporal.get(edge, ()) if set(p) <= set(e.columns)]
+                checks = [c for p in periods if (c := valid(F.col(p[0]), F.col(p[1]))) is not None]
+                if checks:
+                    e = e.where(reduce(lambda a, b: a | b, checks))
                 e = e.select(F.col(near).alias("_near"), F.col(far).alias("_far"))
                 found = e if found is None else found.union(e)
                 kinds.add(b)
@@ -168,8 +173,9 @@ class Selection:
         out = Selection(self.graph, keys, (*self.types, kinds.pop()))
         if where:
             out = out.where(where)
-        if at is not None and self.graph.info[out.type].temporal:
-            out = out.valid_at(at)
+        if declared := self.graph.info[out.type].temporal if out.type in self.graph.info else None:
+            ok = valid(F.col(declared[0]), F.col(declared[1]))
+            out = out if ok is None else out._keep(out.nodes().where(ok))
         return out.limit(limit, *sort) if limit is not None else out
 
     def expand(self, hops: int = 1) -> DataFrame:
@@ -238,7 +244,11 @@ class Selection:
         parents = [c for c in self.keys.columns if c != self.leaf][-1:]
         return self.chains().groupBy(*parents).agg(F.array_sort(F.collect_set(name)).alias("values"))
 
-    def collect_children(self, name: str, most: int | None = None) -> DataFrame:
+    def collect_children(self, name: str, most: int | None = None, where: Mapping[str, Any] | None = None, sort: Sequence = (), limit: int | None = None) -> DataFrame:
+        """(parent, children): the children's values as text; where, sort and limit (per parent) choose among them."""
+        if where or limit is not None:
+            chosen = self.where(where) if where else self
+            return (chosen.limit(limit, *sort) if limit is not None else chosen).collect_children(name, most)
         return self.chains().groupBy(f"l{len(self.types) - 2}").agg(rows.join_texts(F.col(name), ", ", most).alias("children"))
 
     # ------------------------------------------------------------ changes
@@ -272,10 +282,17 @@ class Selection:
         table = self.graph.nodes[kind].drop(*values).join(sums, "id", "left")
         return replace(self.graph, nodes={**self.graph.nodes, kind: table})
 
-    def create_connections(self, edge: str, conflict: str = "update") -> PropertyGraph:
-        """Relationships from the first to the last level of each chain."""
-        pairs = self.keys.select(F.col("l0").alias("src"), F.col(self.leaf).alias("dst")).distinct()
-        return self.graph.add_edges(pairs, edge, self.types[0], "src", self.type, "dst", mode=conflict, check=False)
+    def create_connections(self, edge: str, conflict: str = "update", properties: Mapping[str, tuple[int, str]] | None = None, source: int = 0, target: int = -1) -> PropertyGraph:
+        """Relationships between two levels of each chain, from the first to the last one if not told otherwise. properties
+        copies those of levels: {name: (level, property)}; of several chains between two nodes the least value stays."""
+        last = len(self.types) + target if target < 0 else target
+        rows = self.keys
+        for name, (level, prop) in (properties or {}).items():
+            up = self.graph.nodes[self.types[level]].select(F.col("id").alias("_id"), F.col(prop).alias(name))
+            rows = rows.join(up, F.col(f"l{level}") == F.col("_id"), "left").drop("_id")
+        ends = [F.col(f"l{source}").alias("src"), F.col(f"l{last}").alias("dst")]
+        pairs = rows.groupBy(*ends).agg(*[F.min(n).alias(n) for n in properties]) if properties else rows.select(*ends).distinct()
+        return self.graph.add_edges(pairs, edge, self.types[source], "src", self.types[last], "dst", mode=conflict, check=False)
 
     def connections(self, edge: str | None = None) -> DataFrame:
         """Relationships with an end in the selection."""

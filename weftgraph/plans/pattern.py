@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.catalog import PropertyGraph
+from weftgraph.functions.predicates import condition
 
 #: The longest walk of a step without an upper bound.
 MAX_HOPS = 10
@@ -63,15 +64,43 @@ class Pattern:
         return list(dict.fromkeys(s.var for s in self.steps if s.var))
 
 
+@dataclass(frozen=True)
+class Ref:
+    """The property of another variable of the pattern, as the value that a property must equal."""
+
+    var: str
+    prop: str
+
+
 def node(var: str, type: str | None = None, **props: Any) -> Pattern:
-    """A pattern of one node; props are equalities on its properties (lists: any of them)."""
+    """A pattern of one node; props are equalities on its properties (lists: any of them), {operator: value} conditions as in
+    selections ({">": 5}, {"between": (1, 2)}, {"starts_with": "a"}), or a Ref to another variable's property."""
     return Pattern((NodeStep(var, type, props),))
 
 
-def _equal(column: Column, value: Any) -> Column:
+def _fits(df: DataFrame, name: str, value: Any) -> Column:
+    """The condition on a property; one on another variable is left to _compared."""
+    if isinstance(value, Ref):
+        return F.lit(True)
+    if isinstance(value, Mapping):
+        return condition(df, name, value)
     if isinstance(value, (list, tuple, set)):
-        return column.isin(*value)
-    return column == (value if isinstance(value, Column) else F.lit(value))
+        return F.col(name).isin(*value)
+    return F.col(name) == (value if isinstance(value, Column) else F.lit(value))
+
+
+def _compared(g: PropertyGraph, p: Pattern, rows: DataFrame) -> DataFrame:
+    """rows whose properties equal those of other variables, where the pattern says so."""
+    types = {s.var: s.type for s in p.steps if isinstance(s, NodeStep)}
+    for s in p.steps:
+        name = s.var
+        for prop, value in s.props.items():
+            if isinstance(value, Ref):
+                if name not in rows.columns or value.var not in rows.columns:
+                    raise ValueError(f"the pattern has no variable {name if name not in rows.columns else value.var}")
+                column = g.resolve(s.type, prop) if isinstance(s, NodeStep) else prop
+                rows = rows.where(F.col(f"{name}.{column}") == F.col(f"{value.var}.{g.resolve(types.get(value.var), value.prop)}"))
+    return rows
 
 
 def _nodes(g: PropertyGraph, s: NodeStep) -> DataFrame:
@@ -80,7 +109,7 @@ def _nodes(g: PropertyGraph, s: NodeStep) -> DataFrame:
         column = g.resolve(s.type, name)
         if column not in df.columns:
             raise ValueError(f"{s.type or 'no node type'} has no property {name}")
-        df = df.where(_equal(F.col(column), value))
+        df = df.where(_fits(df, column, value))
     return df.select(F.struct(*[F.col(c) for c in df.columns]).alias(s.var))
 
 
@@ -94,7 +123,7 @@ def _edges(g: PropertyGraph, e: EdgeStep, left: str | None, right: str | None, n
     out = None
     for near, far, df in ways:
         for p, value in e.props.items():
-            df = df.where(_equal(F.col(p), value)) if p in df.columns else df.where(F.lit(False))
+            df = df.where(_fits(df, p, value)) if p in df.columns else df.where(F.lit(False))
         df = df.select(F.col(near).alias("_l"), F.col(f"{near}_type").alias("_lt"), F.col(far).alias("_r"), F.col(f"{far}_type").alias("_rt"), F.struct(*[F.col(c) for c in df.columns]).alias(name))
         out = df if out is None else out.unionByName(df)
     return out
@@ -126,7 +155,7 @@ def match(g: PropertyGraph, *patterns: Pattern, rows: DataFrame | None = None) -
     node or relationship.
     """
     for p in patterns:
-        rows = _expand(g, p, rows)
+        rows = _compared(g, p, _expand(g, p, rows))
     return rows
 
 
@@ -134,8 +163,8 @@ def optional_match(g: PropertyGraph, rows: DataFrame, pattern: Pattern) -> DataF
     """rows with the pattern's new variables, null where it does not match."""
     shared = [v for v in pattern.variables if v in rows.columns]
     if not shared:
-        return rows.join(_expand(g, pattern, None), F.lit(True), "left")
-    found = _expand(g, pattern, None)
+        return rows.join(_compared(g, pattern, _expand(g, pattern, None)), F.lit(True), "left")
+    found = _compared(g, pattern, _expand(g, pattern, None))
     keys = [(f"{v}.{k}", f"_k{i}{k}") for i, v in enumerate(shared) for k in _key(found, v)]
     right = found.select(*[F.col(a).alias(b) for a, b in keys], *[v for v in pattern.variables if v not in shared])
     on = None
@@ -168,7 +197,7 @@ def _subquery(g: PropertyGraph, rows: DataFrame, pattern: Pattern, where):
     shared = [v for v in pattern.variables if v in rows.columns]
     if not shared:
         raise ValueError("the pattern shares no variable with the rows")
-    found = _expand(g, pattern, None)
+    found = _compared(g, pattern, _expand(g, pattern, None))
     if where is not None:
         found = found.where(where)
     keys = [(f"{v}.{k}", f"_k{i}{k}") for i, v in enumerate(shared) for k in _key(found, v)]
@@ -209,7 +238,7 @@ def _narrow(g: PropertyGraph, rows: DataFrame, s: NodeStep) -> DataFrame:
     if s.type:
         rows = rows.where(F.col(f"{s.var}.type") == s.type)
     for name, value in s.props.items():
-        rows = rows.where(_equal(F.col(f"{s.var}.{g.resolve(s.type, name)}"), value))
+        rows = rows.where(_fits(rows, f"{s.var}.{g.resolve(s.type, name)}", value))
     return rows
 
 
