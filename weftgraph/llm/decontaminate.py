@@ -98,7 +98,7 @@ class Items:
             p, lo, times = p[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
             q = self.pos[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
             p = np.repeat(p, times)
-            a, b = self._extend(h, begins[text[p]], end[p], p, q)
+            a, b, q = self._runs(h, begins[text[p]], end[p], p, q)
             long = b - a >= self.window
             spans = np.unique(np.stack([a[long], b[long], self.owner[q[long]]], axis=1), axis=0) if long.any() else np.empty((0, 3), np.int64)
             np.add.at(covered, spans[:, 0], 1)
@@ -116,29 +116,40 @@ class Items:
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return np.cumsum(covered[:n]) > 0, pairs
 
-    def _extend(self, h, first, end, p, q) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of the longest run of equal words around each hit."""
-        a, b, x, y = p.copy(), p + self.k, q.copy(), q + self.k
-        live = np.arange(len(p))
+    def _runs(self, h, first, end, p, q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of the longest runs of equal words around the hits (p, q), and a place of each in the items.
+
+        A run has a hit in each of its windows, so hits of one run follow each other at less than a window's distance
+        on the same diagonal: only words between neighbours and beyond a run's first and last hit are compared.
+        """
         # the k-gram itself is compared word by word: equal hashes are no proof
         same = np.ones(len(p), bool)
         for j in range(self.k):
             same &= h[p + j] == self.text[q + j]
-        b[~same] = a[~same]
-        live = live[same]
-        go = live
+        order = np.flatnonzero(same)[np.lexsort((p[same], (p - q)[same]))]
+        p, q, first, end = p[order], q[order], first[order], end[order]
+        gap = np.diff(p)
+        linked = (np.diff(p - q) == 0) & (gap <= self.window) & (p[1:] + self.k <= end[:-1])
+        for j in range(self.k, self.window):
+            go = np.flatnonzero(linked & (gap > j))
+            linked[go] = h[p[go] + j] == self.text[q[go] + j]
+        head = np.flatnonzero(np.concatenate([[True], ~linked])[: len(p)])
+        tail = np.append(head[1:], len(p))[: len(head)] - 1
+        a, x, low = p[head], q[head], first[head]
+        b, y, high = p[tail] + self.k, q[tail] + self.k, end[tail]
+        go = np.arange(len(head))
         while len(go):
-            go = go[a[go] > first[go]]
+            go = go[a[go] > low[go]]
             go = go[h[a[go] - 1] == self.text[x[go] - 1]]
             a[go] -= 1
             x[go] -= 1
-        go = live
+        go = np.arange(len(head))
         while len(go):
-            go = go[b[go] < end[go]]
+            go = go[b[go] < high[go]]
             go = go[h[b[go]] == self.text[y[go]]]
             b[go] += 1
             y[go] += 1
-        return a, b
+        return a, b, q[head]
 
 
 _FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hit", pa.binary())])
