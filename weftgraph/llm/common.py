@@ -39,10 +39,13 @@ ROWS_A_PART = 100_000
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is configured (tests) a temporary one is set."""
+    """Use the cluster's shared folder; only in local mode a temporary one is made up where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weftgraph-checkpoints-"))
 
 
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -52,13 +55,19 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(16 + rows // ROWS_A_PART)).checkpoint()
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again."""
+def materialised(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared folder and read again, and the folder's path."""
     spark = df.sparkSession
     with_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table that `materialised` has written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Bytes of rows that go to a Python worker at once: a batch is held by the executor and by its worker.
