@@ -32,7 +32,7 @@ class Model:
     least: int = 50
     classes: int = 64
     dim: int = 16
-    noise: int = 48
+    noise: int = 24
     batch: int = 2048
     rate: float = 0.05
     common: int = 300_000
@@ -173,18 +173,27 @@ class Trainer:
 
     def _step(self, u: np.ndarray, v: np.ndarray, t: np.ndarray) -> None:
         r, _, _, c1, c2 = self.theta
-        ru, rv = r[u], r[v]
-        p = np.concatenate([ru @ c1 + rv @ c2, np.ones((len(t), 1), np.float32)], axis=1)
+        ru, rv = r.take(u, axis=0), r.take(v, axis=0)
+        p = np.ones((len(t), r.shape[1] + 1), np.float32)
+        p[:, :-1] = ru @ c1 + rv @ c2
         back = np.zeros_like(p)
         for k, target in ((1, t), (2, self.group[t])):
             q, log_noise, cum = self.theta[k], self.log_noise[k - 1], self.cum[k - 1]
             noise = np.minimum(np.searchsorted(cum, self.rng.random(self.m.noise) * cum[-1]), len(q) - 1)
-            qt, qn = q[target], q[noise]
-            up = 1 / (1 + np.exp(np.clip((p * qt).sum(1) - log_noise[target], -30, 30)))
-            down = 1 / (1 + np.exp(-np.clip(p @ qn.T - log_noise[noise], -30, 30)))
-            back += up[:, None] * qt - down @ qn
+            qt, qn = q.take(target, axis=0), q.take(noise, axis=0)
+            up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", p, qt) - log_noise[target], -30, 30)))
+            down = p @ qn.T
+            down -= log_noise[noise]
+            np.clip(down, -30, 30, out=down)
+            np.negative(down, out=down)
+            np.exp(down, out=down)
+            down += 1
+            np.reciprocal(down, out=down)
+            qt *= up[:, None]
+            qt -= down @ qn
+            back += qt
             self._move(k, np.concatenate([target, noise]), np.concatenate([up[:, None] * p, -(down.T @ p)]), len(t))
-        back = back[:, :-1]
+        back = np.ascontiguousarray(back[:, :-1])
         moves = ru.T @ back, rv.T @ back
         self._move(0, np.concatenate([u, v]), np.concatenate([back @ c1.T, back @ c2.T]), len(t))
         for k, g in zip((3, 4), moves, strict=True):
@@ -192,13 +201,19 @@ class Trainer:
 
     def _move(self, k: int, rows: np.ndarray, values: np.ndarray, n: int) -> None:
         """Add up the values of each row and take a step; rows that do not occur are not touched."""
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
+        # sorts of 16-bit numbers are by their digits
+        order = np.argsort(rows.astype(np.uint16) if len(self.theta[k]) <= 1 << 16 else rows, kind="stable")
+        rows = rows.take(order)
         begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        g = np.add.reduceat(values[order], begins) / np.float32(n)
+        g = np.add.reduceat(values.take(order, axis=0), begins)
+        g /= np.float32(n)
         rows = rows[begins]
-        self.sums[k][rows] += g * g
-        self.theta[k][rows] += self.m.rate * g / np.sqrt(self.sums[k][rows])
+        sums = self.sums[k].take(rows, axis=0)
+        sums += g * g
+        self.sums[k][rows] = sums
+        g *= np.float32(self.m.rate)
+        g /= np.sqrt(sums)
+        self.theta[k][rows] += g
 
 
 _BLOCK = 4096
@@ -228,7 +243,8 @@ def train(docs: DataFrame, vocabulary, noise: np.ndarray, groups: Groups, theta:
             total += k * np.frombuffer(part.as_py(), np.float32)
         return pa.table([pa.array([group.column("block")[0].as_py()], pa.int32()), pa.array([(total / seen.sum()).astype(np.float32).tobytes()], pa.binary())], names=["block", "part"])
 
-    dealt = docs.select("text", F.xxhash64("text").alias("h")).repartition(learners, "h").sortWithinPartitions("h", "text")
+    # copies of a text go to different learners
+    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).repartition(learners, "h").sortWithinPartitions("h", "text")
     parts = dealt.select("text").mapInArrow(learn, "block int, seen long, part binary").groupBy("block").applyInArrow(average, "block int, part binary").collect()
     if not parts:
         return theta
@@ -266,30 +282,39 @@ class Tables:
         self.words = [self.q[x].T for x in groups.members]
         self.gq = self.gq.T
 
-    def log10(self, one: np.ndarray, two: np.ndarray, t: np.ndarray, block: int = 8192) -> np.ndarray:
+    def log10(self, one: np.ndarray, two: np.ndarray, t: np.ndarray, block: int = 32768) -> np.ndarray:
         """The base-10 log-probability of t after the numbers `one` and `two` places before it."""
         out = np.empty(len(t))
         for lo in range(0, len(t), block):
             p = self.one[one[lo : lo + block]] + self.two[two[lo : lo + block]]
             here = t[lo : lo + block]
             group = self.groups.of[here]
-            logs = _log_share(p @ self.gq, group)
+            logs = _log_share(p, self.gq, group)
             order = np.argsort(group, kind="stable")
             begins = np.flatnonzero(np.diff(group[order], prepend=-1))
             for a, b in zip(begins, [*begins[1:], len(order)], strict=True):
                 i = order[a:b]
                 words = self.words[group[i[0]]]
                 if words.shape[1] > 1:
-                    logs[i] += _log_share(p[i] @ words, self.groups.place[here[i]])
+                    logs[i] += _log_share(p[i], words, self.groups.place[here[i]])
             out[lo : lo + block] = logs
         return out / np.log(10)
 
 
-def _log_share(s: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The logarithm of entry k of each row's softmax."""
-    s -= s.max(axis=1)[:, None]
-    own = s[np.arange(len(s)), k].astype(np.float64)
-    return own - np.log(np.exp(s, out=s).sum(axis=1))
+def _log_share(p: np.ndarray, q: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The logarithm of entry k of the softmax of each row of p @ q, for as many rows at a time as caches hold."""
+    out = np.empty(len(p))
+    rows = max(1, 200_000 // q.shape[1])
+    for lo in range(0, len(p), rows):
+        s = p[lo : lo + rows] @ q
+        own = s[np.arange(len(s)), k[lo : lo + rows]].astype(np.float64)
+        top = s.max()
+        if top > 60 or own.min() < -60:  # too far apart for exponentials of 32 bits without a shift
+            most = s.max(axis=1)
+            out[lo : lo + rows] = own - most - np.log(np.exp(s - most[:, None]).sum(axis=1))
+        else:
+            out[lo : lo + rows] = own - np.log(np.exp(s, out=s).sum(axis=1))
+    return out
 
 
 # ---------------------------------------------------------------- scoring
