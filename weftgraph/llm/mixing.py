@@ -18,23 +18,35 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN_CLASS)), F.lit(0)).cast("long")
 
 
+def _before(df: DataFrame, order: Sequence[Column], values: Sequence[str]) -> DataFrame:
+    """df with the sums of values over all rows that come before, as before_<value>: sums of range partitions, then of the
+    rows within one, so that no task sees all rows. The order must be total."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    sums = rows.groupBy("_p").agg(*[F.sum(v).alias(v) for v in values])
+    up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sums = sums.select(F.col("_p").alias("_q"), *[F.coalesce(F.sum(v).over(up), F.lit(0)).alias(f"_{v}") for v in values])
+    inner = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(sums), F.col("_p") == F.col("_q"))
+    return out.select(*df.columns, *[(F.coalesce(F.sum(v).over(inner), F.lit(0)) + F.col(f"_{v}")).alias(f"before_{v}") for v in values])
+
+
 def targets(sizes: DataFrame, weights: Sequence[float], budget: float, most: float) -> DataFrame:
     """sizes (source, source_size) with weight and target: budget * all sizes shared by weight, no source
     above most * its size, the excess shared again by weight among the others."""
-    k = len(weights)
-    order = Window.orderBy(F.asc_nulls_last("source"))
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(k)) + 1).cast("int"))
-    s = sizes.select("source", "source_size", w.alias("weight")).withColumn("full", F.lit(float(most)) * F.col("source_size"))
+    by_name = F.asc_nulls_last("source")
+    s = _before(sizes.select("source", "source_size", F.lit(1).alias("one")), [by_name], ["one"])
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("before_one", F.lit(len(weights))) + 1).cast("int"))
+    s = s.select("source", "source_size", w.alias("weight")).withColumn("full", F.lit(float(most)) * F.col("source_size"))
     # Sources fill up in order of full / weight; the level is that of the first which does not. Later ones
     # would give lower levels, as they leave out what the others ask for.
-    up = Window.orderBy("ratio", F.asc_nulls_last("source"))
-    every = Window.partitionBy()
-    s = s.withColumn("ratio", F.col("full") / F.col("weight"))
-    s = s.withColumn("before", F.sum("full").over(up.rowsBetween(Window.unboundedPreceding, -1)))
-    s = s.withColumn("rest", F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("level", (F.lit(float(budget)) * F.sum("source_size").over(every) - F.coalesce("before", F.lit(0.0))) / F.col("rest"))
-    s = s.withColumn("top", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
-    return s.select("source", "source_size", "weight", F.coalesce(F.least("full", F.col("top") * F.col("weight")), F.col("full")).alias("target"))
+    s = _before(s.withColumn("ratio", F.col("full") / F.col("weight")), [F.asc("ratio"), by_name], ["full", "weight"])
+    total, all_weights = s.agg(F.sum("source_size"), F.sum("weight")).first()
+    left = F.lit(float(budget) * float(total or 0)) - F.col("before_full")
+    s = cut(s.withColumn("level", left / (F.lit(float(all_weights or 1)) - F.col("before_weight"))))
+    top = s.where("level <= ratio").agg(F.max("level")).first()[0]
+    reached = F.col("full") if top is None else F.least("full", F.lit(float(top)) * F.col("weight"))
+    return s.select("source", "source_size", "weight", reached.alias("target"))
 
 
 def queue(slim: DataFrame, goal: DataFrame, most: int, bucket_rows: int = 2_000) -> DataFrame:
