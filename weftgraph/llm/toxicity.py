@@ -33,7 +33,7 @@ class Settings:
     common: float = 1e-4
     least: int = 5
     rare: int = 200
-    updates: int = 60_000
+    updates: int = 40_000
     rate: float = 0.5
     decay: float = 1e-4
     gain: float = 300.0
@@ -121,7 +121,7 @@ def train(texts: Iterable[str], labels: list[int], s: Settings = Settings()) ->
     out = rng.normal(0, 1, (s.dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     sum_out, sum_bias = np.full(out.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    passes = max(5, min(10, s.updates // len(sample.bags)))
+    passes = max(3, min(10, s.updates // len(sample.bags)))
     for k in range(passes):
         rate = s.rate * (1 - k / passes)
         for i in rng.permutation(len(sample.bags)):
