@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from weftgraph.catalog import PropertyGraph
 from weftgraph.functions import dates, predicates, scalars, series, vectors
 from weftgraph.operators import algorithms, integrity, mutate, paths, rows, traversal
-from weftgraph.plans.pattern import count_pattern, exists, match, node, optional_match
+from weftgraph.plans.pattern import Ref, count_pattern, exists, match, node, optional_match
 
 
 @pytest.fixture(scope="module")
@@ -277,3 +277,37 @@ def test_strong_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, n)] + [(n, n - 1), (50, 49)], "src long, dst long")
     got = {r.node: r.component for r in algorithms.strong_components(nodes, e).collect()}
     assert got == {i: {n: n - 1, 50: 49}.get(i, i) for i in range(1, n + 1)}
+
+
+def test_conditions_and_references_in_patterns(g):
+    m = match(g, node("a", "Person", age={">": 28, "<": 50}).out("KNOWS", "b", "Person", title={"starts_with": "C"}))
+    assert rows_of(m.select("a.id", "b.id")) == [(2, 3)]
+    m = match(g, node("a", "Person").out("KNOWS", "b", "Person", where={"since": {"between": (2019, 2020)}}, city=Ref("a", "city")))
+    assert m.count() == 0
+    m = match(g, node("a", "Person").out("KNOWS", "b", "Person", city=Ref("a", "city")))
+    assert rows_of(m.select("a.id", "b.id")) == [(1, 3)]
+    assert rows_of(match(g, node("b", "Person", city=Ref("a", "city")), rows=match(g, node("a", "Person", name="Alice"))).select("b.id")) == [(1,), (3,)]
+    with pytest.raises(ValueError):
+        match(g, node("a", "Person", city=Ref("nobody", "city")))
+
+
+def test_deletes_are_counted(g):
+    h = mutate.delete_nodes(g, "Person", g.nodes["Person"].where("id = 1"), detach=True)
+    assert dict(h.reports[-1].counts) == {"nodes_deleted": 1, "relationships_deleted": 4}
+    h = mutate.delete_edges(g, "BOUGHT", g.edge_table("BOUGHT").where("src = 2"))
+    assert dict(h.reports[-1].counts) == {"relationships_deleted": 2}
+
+
+def test_traversal_during_a_period_and_chosen_children(spark, g):
+    e = spark.createDataFrame([(1, 2, dt.date(2020, 1, 1), dt.date(2020, 6, 1)), (1, 3, dt.date(2021, 1, 1), None)], "a long, b long, start date, until date")
+    h = g.add_edges(e, "MET", "Person", "a", "Person", "b").set_temporal("MET", "start", "until")
+    s = traversal.select(h, "Person").where({"id": 1})
+    day = lambda x: F.lit(dt.date.fromisoformat(x))
+    assert rows_of(s.traverse("MET", "out", during=(day("2020-05-01"), day("2020-12-31"))).ids()) == [(2,)]
+    assert rows_of(s.traverse("MET", "out", at=day("2022-01-01")).ids()) == [(3,)]
+    assert rows_of(s.traverse("MET", "out", at=day("2022-01-01"), temporal=False).ids()) == [(2,), (3,)]
+    t = traversal.select(g, "Person").traverse("BOUGHT", "out")
+    assert rows_of(t.collect_children("title", where={"price": {">": 3}})) == [(1, "Cup")]
+    assert rows_of(t.collect_children("title", sort=[("price", "desc")], limit=1)) == [(1, "Cup"), (2, "Pen")]
+    made = t.create_connections("OWNS", properties={"cost": (1, "price")}, source=1, target=0).edges["OWNS"][0]
+    assert (made.src_type, made.dst_type) == ("Product", "Person") and rows_of(made.df.select("src", "dst", "cost")) == [(101, 1, 2.5), (101, 2, 2.5), (102, 1, 10.0)]
