@@ -35,7 +35,7 @@ class Settings:
     rare: int = 200
     updates: int = 40_000
     rate: float = 0.5
-    decay: float = 1e-4
+    decay: float = 1e-3
     gain: float = 300.0
     blanks: float = 100.0
     seed: int = 7
@@ -122,6 +122,7 @@ def train(texts: Iterable[str], labels: list[int], s: Settings = Settings()) ->
     bias = np.zeros(2, np.float32)
     sum_out, sum_bias = np.full(out.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     passes = max(3, min(10, s.updates // len(sample.bags)))
+    odds, shift = np.zeros(1 << s.bits), 0.0
     for k in range(passes):
         rate = s.rate * (1 - k / passes)
         for i in rng.permutation(len(sample.bags)):
@@ -140,9 +141,11 @@ def train(texts: Iterable[str], labels: list[int], s: Settings = Settings()) ->
             sum_bias += p**2
             bias -= rate * p / np.sqrt(sum_bias)
             emb[ids] = vectors * (1 - s.decay) - (rate * share)[:, None] * back
-    odds = np.zeros(1 << s.bits, np.float32)
-    odds[sample.kept] = weight * (emb @ (out[:, 1] - out[:, 0]))
-    return odds, float(bias[1] - bias[0])
+        if 2 * k >= passes - 1:  # the later passes are averaged
+            odds[sample.kept] += weight * (emb @ (out[:, 1] - out[:, 0]))
+            shift += float(bias[1] - bias[0])
+    n = passes - (passes // 2)
+    return (odds / n).astype(np.float32), shift / n
 
 
 def labelled(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
