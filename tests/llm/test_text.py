@@ -15,7 +15,7 @@ from weftgraph.llm import html_text
 from weftgraph.llm.html_text import extract_text, is_noise, main_text, surges
 from weftgraph.llm.language_model import Groups, Model, Tables, language_model, start
 from weftgraph.llm.licences import evaluate, licence_scan, parse
-from weftgraph.llm.mixing import mix_sources
+from weftgraph.llm.mixing import mix_sources, targets
 from weftgraph.llm.secrets import ASSIGN, battery, secret_spans
 from weftgraph.llm.toxicity import Settings, labelled, toxicity
 
@@ -113,6 +113,14 @@ def test_mix_meets_targets(spark):
     assert mix_sources(docs.limit(0)).count() == 0
 
 
+def test_targets_of_few_and_many_sources_agree(spark):
+    rng = random.Random(6)
+    sizes = spark.createDataFrame([(f"s{i}", rng.randrange(1, 10_000)) for i in range(60)] + [(None, 500), ("", 0)], "source string, source_size long")
+    one, many = ({r.source: (r.weight, r.target) for r in targets(sizes, (3, 1, 2), 1.5, 2, k).collect()} for k in (1000, 10))
+    assert len(one) == 62 and one.keys() == many.keys()
+    assert all(one[k] == pytest.approx(many[k]) for k in one)
+
+
 # ---------------------------------------------------------------- toxicity
 
 

@@ -18,9 +18,12 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN_CLASS)), F.lit(0)).cast("long")
 
 
-def _before(df: DataFrame, order: Sequence[Column], values: Sequence[str]) -> DataFrame:
-    """df with the sums of values over all rows that come before, as before_<value>: sums of range partitions, then of the
-    rows within one, so that no task sees all rows. The order must be total."""
+def _before(df: DataFrame, order: Sequence[Column], values: Sequence[str], few: bool) -> DataFrame:
+    """df with the sums of values over all rows that come before, as before_<value>; the order must be total. Few rows go
+    through one task; of more, range partitions are summed, then the rows within one, so that no task sees all."""
+    if few:
+        up = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(v).over(up), F.lit(0)).alias(f"before_{v}") for v in values])
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
     sums = rows.groupBy("_p").agg(*[F.sum(v).alias(v) for v in values])
@@ -31,16 +34,19 @@ def _before(df: DataFrame, order: Sequence[Column], values: Sequence[str]) -> Da
     return out.select(*df.columns, *[(F.coalesce(F.sum(v).over(inner), F.lit(0)) + F.col(f"_{v}")).alias(f"before_{v}") for v in values])
 
 
-def targets(sizes: DataFrame, weights: Sequence[float], budget: float, most: float) -> DataFrame:
+def targets(sizes: DataFrame, weights: Sequence[float], budget: float, most: float, one_task: int = BROADCAST_SOURCES) -> DataFrame:
     """sizes (source, source_size) with weight and target: budget * all sizes shared by weight, no source
-    above most * its size, the excess shared again by weight among the others."""
+    above most * its size, the excess shared again by weight among the others. Up to one_task sources are put in order by one
+    task."""
     by_name = F.asc_nulls_last("source")
-    s = _before(sizes.select("source", "source_size", F.lit(1).alias("one")), [by_name], ["one"])
+    sizes = cut(sizes)
+    few = sizes.count() <= one_task
+    s = _before(sizes.select("source", "source_size", F.lit(1).alias("one")), [by_name], ["one"], few)
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("before_one", F.lit(len(weights))) + 1).cast("int"))
     s = s.select("source", "source_size", w.alias("weight")).withColumn("full", F.lit(float(most)) * F.col("source_size"))
     # Sources fill up in order of full / weight; the level is that of the first which does not. Later ones
     # would give lower levels, as they leave out what the others ask for.
-    s = _before(s.withColumn("ratio", F.col("full") / F.col("weight")), [F.asc("ratio"), by_name], ["full", "weight"])
+    s = _before(s.withColumn("ratio", F.col("full") / F.col("weight")), [F.asc("ratio"), by_name], ["full", "weight"], few)
     total, all_weights = s.agg(F.sum("source_size"), F.sum("weight")).first()
     left = F.lit(float(budget) * float(total or 0)) - F.col("before_full")
     s = cut(s.withColumn("level", left / (F.lit(float(all_weights or 1)) - F.col("before_weight"))))
