@@ -31,7 +31,7 @@ WORD_BYTES = _table(lambda c: c >= 128 or chr(c).isalnum())
 TOKEN_BYTES = _table(lambda c: c not in _SPACES)
 
 #: Bytes of text that kernels take at once: their scratch arrays are some forty times as large.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
 #: Narrow rows, as those of edges, in a part that is written.

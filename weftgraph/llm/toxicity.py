@@ -201,7 +201,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
                 total, n = np.zeros(hi - lo), np.zeros(hi - lo)
                 data, at = b" " + data, at + 1
                 # long runs are taken in blocks that overlap by one n-gram; the second byte tells an n-gram's text
-                step = 1 << 19
+                step = 1 << 18
                 for here in range(0, len(data), step):
                     for ok, ids in subwords(data[here : here + step + s.longest - 1], s):
                         mine = ok < step
